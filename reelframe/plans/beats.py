@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import beats as ops
 from ..operators import intervals
 from ..sources.views import BEATS_SQL, ONSETS_SQL, beats, onsets, read
+from ..streaming.sessions import pause_sessions
 from .registry import query
 
 HOUR = 3_600_000
@@ -125,3 +126,11 @@ def shot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("t", (F.col("i") * 600).cast("long"))
     parts = read(spark, sf_dir, "part").where("p_partkey <= 8").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") % 9 + 1).cast("double").alias("seconds"), F.col("p_partkey").alias("pos"))
     return ops.shots(e, e.select("track").distinct().crossJoin(F.broadcast(parts)))
+
+
+@query("""WITH e AS (SELECT user_id AS track, ts, event_id FROM events), o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY track ORDER BY ts, event_id) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS o FROM e),
+    s AS (SELECT *, sum(o) OVER (PARTITION BY track ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT track, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) + 21600000 AS end_ms, count(*) AS n FROM s GROUP BY track, s""")
+def session_window_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming operator over a batch table."""
+    rows = pause_sessions(read(spark, sf_dir, "events").withColumnRenamed("user_id", "track"), "track", "ts")
+    return rows.select("track", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
