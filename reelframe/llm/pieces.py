@@ -94,8 +94,8 @@ class _Word:
         self.new: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         self.vocabulary, self.library = load(model)
-        self.parts: Memo = Memo(self._part)
-        self.words: Memo = Memo(self, 500_000)
+        self.parts: Memo = Memo(self._part, 800_000)
+        self.words: Memo = Memo(self, 1_200_000)
 
     def _part(self, part: str) -> str:
         ids = word_ids(part, self.vocabulary)
