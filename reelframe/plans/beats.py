@@ -129,8 +129,8 @@ def shot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id AS track, ts, event_id FROM events), o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY track ORDER BY ts, event_id) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS o FROM e),
-    s AS (SELECT *, sum(o) OVER (PARTITION BY track ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT track, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) + 21600000 AS end_ms, count(*) AS n FROM s GROUP BY track, s""")
+    s AS (SELECT *, sum(o) OVER (PARTITION BY track ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT track, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY track, s""")
 def session_window_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over a batch table."""
     rows = pause_sessions(read(spark, sf_dir, "events").withColumnRenamed("user_id", "track"), "track", "ts")
-    return rows.select("track", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
+    return rows.select("track", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

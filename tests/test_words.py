@@ -82,6 +82,20 @@ def test_whole_cutter_and_floor(spark):
     assert [(r.timeline, r.idx, r.kind) for r in edit_plan(keep, "f", "audio").orderBy("timeline", "idx").collect()] == [("a", 0, "audio"), ("a", 1, "audio"), ("none", 0, "audio")]
 
 
+@given(st.lists(st.tuples(st.sampled_from(["um", "um.", "you", "know", "like", "kind", "of", "x", "Uh", "..."]), st.sampled_from([20, 250, 900])), max_size=25))
+@settings(max_examples=15, deadline=None)
+def test_one_sweep_gives_the_rows_of_the_single_operators(spark, said):
+    at, rows = 0, []
+    for word, gap in said:
+        rows.append((word, at + gap, at + gap + 90))
+        at += gap + 90
+    w, d = make(spark, {"x": rows}), spans(spark, x=at + 700)
+    phrases = ops.phrase_fillers(w, "f")
+    both = phrases.unionByName(ops.single_fillers(w, "f", consumed=phrases))
+    want = {(r.text, r.start_ms, r.end_ms) for r in ops.widen(both, w, "f").collect()} | {(r.text, r.start_ms, r.end_ms) for r in ops.pauses(w, d, "f").collect()}
+    assert {(r.text, r.start_ms, r.end_ms) for r in ops.swept_cuts(w, d, "f").collect()} == want
+
+
 def test_norm(spark):
     words = ["  Hello, ", "«école»", "don't!", "_x_", "...", "ÀB1?"]
     df = spark.createDataFrame(list(enumerate(words)), "i int, w string").orderBy("i")
