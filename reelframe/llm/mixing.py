@@ -89,6 +89,7 @@ def _cut(rows: DataFrame, needs: DataFrame, group: str) -> DataFrame:
     for shift in range(KEY_BITS - DIGIT, -1, -DIGIT):
         bins = rows.withColumn("prefix", F.shiftright(F.col("key"), shift + DIGIT)).join(at, [group, "prefix"])
         bins = bins.groupBy(group, "need", "base", F.shiftright(F.col("key"), shift).alias("digit")).agg(F.sum("size").alias("words"))
+        bins = table(bins, f"mix_bins_{shift}")  # else the sums themselves are dealt by group, a hot one in one task
         bins = bins.withColumn("upto", F.col("base") + F.sum("words").over(W.partitionBy(group).orderBy("digit")))
         crossing = bins.where("upto > need").groupBy(group, "need").agg(F.min(F.struct("digit", "upto", "words")).alias("x"))
         at = table(crossing.select(group, "need", (F.col("x.upto") - F.col("x.words")).alias("base"), F.col("x.digit").alias("prefix")), f"mix_cut_{shift}")
