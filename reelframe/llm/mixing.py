@@ -134,7 +134,8 @@ def mix(
     rows = table(rows.withColumn("chosen", F.lit(False)), "mix_keys")
     for _ in range(PASSES):
         fits = rows.where(~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("open")))
-        cuts = table(_cut(fits.select("s", "key", "size"), fits.groupBy("s").agg(F.first("open").alias("need")), "s"), "mix_cuts")
+        needs = table(fits.groupBy("s").agg(F.min("open").alias("need")), "mix_needs")
+        cuts = table(_cut(fits.select("s", "key", "size"), needs, "s"), "mix_cuts")
         more = (F.col("size") > 0) & (F.col("size") <= F.col("open")) & (F.col("key") <= F.coalesce("cut", F.lit(1 << KEY_BITS)))
         rows = rows.join(cuts, "s", "left").withColumn("chosen", F.col("chosen") | more).drop("cut", "open")
         rows = table(rows, "mix_chosen")
