@@ -96,7 +96,11 @@ def total_frames(tiled: DataFrame, keys: Sequence[str] = ("timeline",)) -> DataF
 
 
 def clip_markers(tiled: DataFrame, markers: DataFrame, keys: Sequence[str] = ("timeline",)) -> DataFrame:
-    """Every (clip, marker) with offset <= frame < offset + duration, and local: the marker's frame in the source."""
+    """Every (clip, marker) with offset <= frame < offset + duration, and local: the marker's frame in the source.
+
+    A marker column that clips have too becomes marker_<name>.
+    """
+    markers = markers.withColumnsRenamed({c: "marker_" + c for c in markers.columns if c in tiled.columns and c not in keys})
     spans = tiled.withColumn("stop_", F.col("offset") + F.col("duration"))
     found = intervals.points_in(markers, spans, keys, "frame", "offset", "stop_")
     return found.withColumn("local", F.col("src_in") + F.col("frame") - F.col("offset")).drop("stop_")

@@ -33,7 +33,7 @@ def test_tiling_and_frames(spark):
 
 def test_markers_reach_every_clip_that_holds_them(spark):
     m = spark.createDataFrame([("t", 5, "in both"), ("t", 240, "third"), ("t", 999, "outside")], "timeline string, frame long, name string")
-    got = {(r.idx, r.name, r.local) for r in ops.clip_markers(tiled(spark), m).collect()}
+    got = {(r.idx, r.marker_name, r.local) for r in ops.clip_markers(tiled(spark), m).collect()}
     assert got == {(0, "in both", 5), (1, "in both", 5), (2, "third", 1)}
     text = interchange.fcpxml(tiled(spark), m, 24).first().content
     root = ET.fromstring(text.split("<!DOCTYPE fcpxml>")[1])
