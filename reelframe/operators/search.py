@@ -73,6 +73,7 @@ def with_context(hits: DataFrame, words: DataFrame, key: str, context_ms: int =
 
     Two range windows, one over starts and one over ends, give each word its reach; word times rise within a file.
     """
+    words = words.join(hits.select(key).distinct(), key, "left_semi")  # only files with a hit are swept
     back = W.partitionBy(key).orderBy("start_ms").rangeBetween(-context_ms, 0)
     ahead = W.partitionBy(key).orderBy("end_ms").rangeBetween(0, context_ms)
     reach = words.select(

@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals
 from ..operators import words as ops
-from ..sources.views import WORDS_SQL, words
+from ..sources.views import WORDS_SQL, files, words
 from .registry import query
 
 KEY = "doc_id"
 #: The prose is invented, so frequent words stand in for fillers here; the operators' defaults are the real lists.
 FILLERS, GUARDED, PHRASES = ("of", "the", "and"), ("in",), (("of", "the"), ("with", "the"))
-TAIL_MS = 800
-
-
-def files(w: DataFrame) -> DataFrame:
-    return w.groupBy(KEY).agg((F.max("end_ms") + TAIL_MS).alias("duration_ms"))
 
 
 def cut_by_transcript(
@@ -83,7 +78,7 @@ totals AS (SELECT f.doc_id, f.duration_ms, coalesce((SELECT sum(end_ms - start_m
 
 def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     w = words(spark, sf_dir)
-    f = files(w)
+    f = files(spark, sf_dir)
     return w, f, ops.raw_cuts(w, f, KEY, FILLERS, GUARDED, PHRASES, remove_restarts=False)
 
 
@@ -91,21 +86,21 @@ def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 def filler_cuts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transcript cutter without restarts, from words to totals per file."""
     w = words(spark, sf_dir)
-    _, _, totals = cut_by_transcript(w, files(w), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES, remove_restarts=False)
+    _, _, totals = cut_by_transcript(w, files(spark, sf_dir), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES, remove_restarts=False)
     return totals.drop("below_floor")
 
 
 @query(_SQL + "SELECT doc_id, kept_ms / CAST(duration_ms AS DOUBLE) < 0.8::DOUBLE AS below_floor FROM totals")
 def keep_ratio_floor_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
-    return cut_by_transcript(w, files(w), KEY, 0.8, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES, remove_restarts=False)[2].select(KEY, "below_floor")
+    return cut_by_transcript(w, files(spark, sf_dir), KEY, 0.8, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES, remove_restarts=False)[2].select(KEY, "below_floor")
 
 
 @query()
 def cut_by_transcript_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With restarts, whose greedy choice SQL can't express; tested against a plain restatement."""
     w = words(spark, sf_dir)
-    return cut_by_transcript(w, files(w), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES)[2]
+    return cut_by_transcript(w, files(spark, sf_dir), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES)[2]
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, pos, word, start_ms, end_ms FROM words")
@@ -131,7 +126,7 @@ def word_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SQL + "SELECT doc_id, start_ms, end_ms, text FROM pause")
 def pause_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
-    return ops.pauses(w, files(w), KEY)
+    return ops.pauses(w, files(spark, sf_dir), KEY)
 
 
 @query(_SQL + "SELECT doc_id, pos, start_ms, end_ms, text FROM (SELECT *, norm AS text FROM flags) WHERE norm IN ('of', 'the', 'and') AND (NOT starts OR coalesce(n1 = norm, false) OR coalesce(prev_norm = norm, false))")
