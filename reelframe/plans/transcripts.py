@@ -27,9 +27,12 @@ def cut_by_transcript(
     """
     cuts = ops.merged_cuts(ops.raw_cuts(w, spans, key, **options), key)
     keep = intervals.complement(cuts, spans, [key])
-    removed = cuts.groupBy(key).agg(F.count(F.lit(1)).alias("cuts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("removed_ms"))
-    kept = keep.groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("kept_ms"))
-    totals = spans.join(removed, key, "left").join(kept, key, "left").fillna(0, ["cuts", "removed_ms", "kept_ms"])
+    # What is kept follows from the cuts, which are disjoint: one aggregation, and no second pass for the keep ranges.
+    inside = F.greatest(F.lit(0), F.least(F.col("end_ms"), F.col("duration_ms")) - F.greatest(F.col("start_ms"), F.lit(0)))
+    sums = [F.count("start_ms").alias("cuts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("removed_ms"), F.sum(inside).alias("gone_")]
+    totals = spans.select(key, "duration_ms").join(cuts, key, "left").groupBy(key, "duration_ms").agg(*sums).fillna(0, ["cuts", "removed_ms", "gone_"])
+    kept = F.col("duration_ms") - F.col("gone_")
+    totals = totals.withColumn("kept_ms", F.when(kept > 0, kept).otherwise(F.col("duration_ms"))).drop("gone_")
     totals = totals.withColumn("keep_ratio", F.coalesce(F.try_divide(F.col("kept_ms"), F.col("duration_ms")), F.lit(1.0)))
     return cuts, keep, totals.withColumn("below_floor", F.col("keep_ratio") < keep_ratio_floor)
 

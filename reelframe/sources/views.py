@@ -22,11 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, word, norm, start_ms, end_ms."""
     out = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    out = out.withColumn("pos", F.col("pos").cast("long"))  # before the first sort, so that later ones can use it
     length = F.lit(PER_CHAR) * F.length("word")
     gap = F.when(F.col("word").rlike(r"[.!?]$"), SENTENCE).when(F.col("word").rlike(r"[,;:]$"), CLAUSE).otherwise(PLAIN)
     before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(length + gap).over(before), F.lit(0)).cast("long")
-    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "word", norm(F.col("word")).alias("norm"), start.alias("start_ms"), (start + length).cast("long").alias("end_ms"))
+    return out.select("doc_id", "pos", "word", norm(F.col("word")).alias("norm"), start.alias("start_ms"), (start + length).cast("long").alias("end_ms"))
 
 
 def files(spark: SparkSession, sf_dir: str, tail_ms: int = 800) -> DataFrame:
