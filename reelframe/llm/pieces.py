@@ -2,8 +2,9 @@
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by score (ties: leftmost) and merges the best
 pair until none is a piece; symbols that are no piece become byte pieces.  Words are merged one by one,
-without the punctuation that no piece joins to them, and memoised within bounds.  Every new word of an Arrow batch is checked against the sentencepiece
-library; a difference stops the job.
+without the punctuation that no piece joins to them, and memoised within bounds.  Every word of an Arrow
+batch that holds a newly merged part is checked against the sentencepiece library; a difference stops
+the job.
 """
 
 from __future__ import annotations
@@ -23,15 +24,12 @@ CHECKED = 10_000
 
 
 def word_ids(word: str, v: Vocabulary) -> list[int]:
-    out = []
-    for p in merge(word, v.ranks)[0]:
-        if p is not None:
-            i = v.ids.get(p)
-            if i is None:
-                out += [v.byte_ids[b] for b in p.encode("utf-8")]
-            else:
-                out.append(i)
-    return out
+    parts = [p for p in merge(word, v.ranks)[0] if p is not None]
+    known = v.ids.get
+    ids = [known(p) for p in parts]
+    if None in ids:
+        ids = [j for i, p in zip(ids, parts, strict=True) for j in ((i,) if i is not None else [v.byte_ids[b] for b in p.encode("utf-8")])]
+    return ids
 
 
 def encode(text: str | None, model: str) -> list[int]:
@@ -42,7 +40,7 @@ def encode(text: str | None, model: str) -> list[int]:
 
 def surface(ids: list[int], v: Vocabulary, library: object) -> str:
     """The pieces of ids side by side, BLANK for blanks: byte pieces are joined as UTF-8, bad bytes become U+FFFD each."""
-    if all(i not in v.byte_of and i not in v.silent and i != v.unknown for i in ids):
+    if v.special.isdisjoint(ids):
         return "".join([v.pieces[i] for i in ids])
     out: list[str] = []
     run = bytearray()
@@ -93,11 +91,13 @@ class _Word:
     def __init__(self, model: str) -> None:
         self.new: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.made = False
         self.vocabulary, self.library = load(model)
-        self.parts: Memo = Memo(self._part, 800_000)
-        self.words: Memo = Memo(self, 1_200_000)
+        self.parts: Memo = Memo(self._part, 1_000_000)
+        self.words: Memo = Memo(self, 1_600_000)
 
     def _part(self, part: str) -> str:
+        self.made = True
         ids = word_ids(part, self.vocabulary)
         shown = surface(ids, self.vocabulary, self.library)
         if shown != part:
@@ -106,7 +106,10 @@ class _Word:
 
     def __call__(self, word: str) -> str:
         at = tail(word, self.vocabulary.inside)
-        ids = self.new[word] = f"{self.parts[word[:at]]},{self.parts[word[at:]]}" if at else self.parts[word]
+        self.made = False
+        ids = f"{self.parts[word[:at]]},{self.parts[word[at:]]}" if at else self.parts[word]
+        if self.made:  # else both parts were checked as parts of other words
+            self.new[word] = ids
         return ids
 
     def _shown(self, word: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from typing import Generic, TypeVar
 
@@ -27,6 +27,11 @@ class Vocabulary:
     unknown: int
     inside: frozenset[str]
 
+    @cached_property
+    def special(self) -> frozenset[int]:
+        """Ids that don't stand for their piece as text."""
+        return self.silent | frozenset(self.byte_of) | {self.unknown}
+
     def __post_init__(self) -> None:
         spans = [p for p in self.ranks if BLANK in p.lstrip(BLANK)]
         if spans or len(self.byte_ids) != 256:
