@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("transcripts", "search", "captions", "beats", "timeline", "media", "music", "audio", "colour", "tools")
+MODULES = ("transcripts", "search", "captions", "beats", "timeline", "media", "music", "audio", "colour", "tools", "relations")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
