@@ -70,21 +70,23 @@ def features(text: str | None) -> np.ndarray | None:
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 32.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (the last one is the bias) of a linear machine with squared hinge loss; y holds -1 and 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     pull = len(y) / 2 / np.maximum(1, np.array([(y < 0).sum(), (y > 0).sum()]))
     diag = 1 / (2 * cost * pull[(y > 0).astype(int)])
-    q, a, w, rng = (x * x).sum(1) + diag, np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    # The features stay as they are, in single precision; the bias is a feature that is always 1.
+    q, a, rng = np.einsum("ij,ij->i", x, x) + 1.0 + diag, np.zeros(len(x)), np.random.default_rng(seed)
+    w, bias = np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            step = max(a[i] - (y[i] * (x[i] @ w) - 1 + diag[i] * a[i]) / q[i], 0.0) - a[i]
+            step = max(a[i] - (y[i] * (x[i] @ w + bias) - 1 + diag[i] * a[i]) / q[i], 0.0) - a[i]
             if step:
                 a[i] += step
                 w += step * y[i] * x[i]
+                bias += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
