@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .vocabulary import BLANK, Memo, Vocabulary, load, merge, tail, words
 
 #: New words that are checked at a time.
 CHECKED = 10_000
+#: Rows whose ids and texts are held at a time.
+ROWS = 200
 
 
 def word_ids(word: str, v: Vocabulary) -> list[int]:
@@ -146,24 +149,27 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = _Word(model)
-        for b in batches:
-            counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
-            for t in b.column(1):
-                joined, text = make.document(t.as_py() or "")
-                counts.append(joined.count(",") + 1 if joined else 0)
-                id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
-                if ids:
-                    all_ids.append([int(x) for x in joined.split(",")] if joined else [])
-                    texts.append(text)
-                if check and len(make.new) > CHECKED:
+        for whole in batches:
+            step = ROWS if ids else max(1, whole.num_rows)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
+                for t in b.column(1):
+                    joined, text = make.document(t.as_py() or "")
+                    counts.append(joined.count(",") + 1 if joined else 0)
+                    id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
+                    text_hashes.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
+                    if ids:
+                        all_ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                        texts.append(text)
+                    if check and len(make.new) > CHECKED:
+                        make.check()
+                    elif not check:
+                        make.new.clear()
+                if make.new:
                     make.check()
-                elif not check:
-                    make.new.clear()
-            if make.new:
-                make.check()
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if ids else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), *more], names)
+                more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), *more], names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text_"))
