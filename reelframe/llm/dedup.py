@@ -96,16 +96,27 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A row stays if its digest group keeps its (id, code points); rows that agree in id, code points
     and digest are repeated rows, of which one stays.  Ids may be null.
     """
-    kid, points, full = fresh(docs, "k_id", "k_points", "k_full")
+    kid, points, full, copies = fresh(docs, "k_id", "k_points", "k_full", "k_copies")
     sig = table(_signature(docs, id_col, text_col, True), "dedup_signature")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     hashed = _shared(_shared(sig, "len"), "len", "head")
     groups = table(hashed.groupBy("len", "head", "full").agg(best.alias("best")), "dedup_groups_full")
     rows = sig.join(groups, ["len", "head", "full"], "left")
     stays = rows.where("best is null or (best.p = -points and best.id <=> id)").groupBy("id", "points", "full").agg(F.count(F.lit(1)).alias("copies"))
-    stays = table(stays.select(F.col("id").alias(kid), F.col("points").alias(points), F.col("full").alias(full)), "dedup_stays")
-    norm = normalised(F.col(text_col))
+    stays = table(stays.select(F.col("id").alias(kid), F.col("points").alias(points), F.col("full").alias(full), F.col("copies").alias(copies)), "dedup_stays")
     p2, f2 = fresh(docs, "d_points", "d_full")
-    marked = docs.withColumns({p2: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), f2: F.sha2(norm, 256)})
-    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(p2) == F.col(points)) & (F.col(f2) == F.col(full)), "left_semi")
-    return kept.dropDuplicates([id_col, p2, f2]).select(*docs.columns)
+    marked = docs.withColumns({p2: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), f2: F.sha2(normalised(F.col(text_col)), 256)})
+    on = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(p2) == F.col(points)) & (F.col(f2) == F.col(full))
+    return keep_marked(marked, stays, on, copies, [id_col, p2, f2]).select(*docs.columns)
+
+
+def keep_marked(marked: DataFrame, stays: DataFrame, on: Column, copies: str, key: list[str]) -> DataFrame:
+    """marked rows that stays names; of those that it names `copies` > 1 times (repeated rows) one each.
+
+    Whole rows are dealt once, for the join; only repeated rows, where there are any, are dealt again.
+    """
+    once = marked.join(stays.where(F.col(copies) == 1), on, "left_semi")
+    many = stays.where(F.col(copies) > 1)
+    if many.isEmpty():
+        return once
+    return once.unionByName(marked.join(many, on, "left_semi").dropDuplicates(key))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .dedup import keep_marked
 from .work import fresh, table
 
 BITS = 64
@@ -113,13 +114,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with that id in the component the smallest text hash stays, and of repeated rows one.
     Rows with a null id stay only if no row of their component has an id.
     """
-    kid, khash, dhash = fresh(docs, "k_id", "k_hash", "d_hash")
+    kid, khash, copies, dhash = fresh(docs, "k_id", "k_hash", "k_copies", "d_hash")
     found = table(near_duplicates(docs, id_col, text_col), "simhash_result")
     stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     # A null component_id names no component by itself: there the fingerprint does.
-    key = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
-    stays = stays.groupBy(key[0].alias(kid), key[1].alias("f")).agg(F.min("text_hash").alias(khash))
-    stays = table(stays.select(kid, khash), "simhash_stays")
+    key = [F.col("component_id").alias(kid), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")]
+    rows = stays.groupBy(*key, "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.groupBy(kid, "f").agg(F.min(F.struct("text_hash", "n")).alias("m"))
+    rows = table(rows.select(kid, F.col("m.text_hash").alias(khash), F.col("m.n").alias(copies)), "simhash_stays")
     marked = docs.withColumn(dhash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(dhash) == F.col(khash)), "left_semi")
-    return kept.dropDuplicates([id_col, dhash]).select(*docs.columns)
+    on = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(dhash) == F.col(khash))
+    return keep_marked(marked, rows, on, copies, [id_col, dhash]).select(*docs.columns)
