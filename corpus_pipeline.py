@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import dedup, language, mixing, pieces, simhash
+from reelframe.llm import dedup, language, mixing, pieces, similar, simhash
 from reelframe.llm.queries import vocabulary_path
 from reelframe.llm.work import fresh, shared_dir, table
 
@@ -22,8 +22,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, similarity >= 0.8) the document with the smallest id stays."""
+    return simhash.drop_near_copies(docs, groups=similar.near_copies)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ fingerprints, all of which are linked, so one star for each group gives the same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -108,14 +108,15 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the row with its smallest id.
 
+    groups finds the components, by SimHash or by shingle sets (similar.near_copies).
     Of rows with that id in the component the smallest text hash stays, and of repeated rows one.
     Rows with a null id stay only if no row of their component has an id.
     """
     kid, khash, copies, dhash = fresh(docs, "k_id", "k_hash", "k_copies", "d_hash")
-    found = table(near_duplicates(docs, id_col, text_col), "simhash_result")
+    found = table(groups(docs, id_col, text_col), "simhash_result")
     stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     # A null component_id names no component by itself: there the fingerprint does.
     key = [F.col("component_id").alias(kid), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")]
