@@ -3,7 +3,8 @@
 Tokens are ordered by global document frequency, rarest first.  A template whose threshold needs m
 of its n tokens can only match a block that holds one of its first n - m + 1 tokens (prefix), has at
 least m template tokens (length) and, at the first common token, enough tokens left on both
-sides (position); what passes is verified exactly.  Only DataFrame expressions run, in one scan of
+sides (position); what passes is verified exactly.  A notice may be wrapped, so where a whole text
+holds enough of a template's tokens, windows of the template's length over line ends count too.  Only DataFrame expressions run, in one scan of
 the texts; blocks stay in their row, so nothing is shuffled but one count per vocabulary token.
 """
 
@@ -55,7 +56,9 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    A block is a line.  labels joins the phrases' labels with those of all templates of which some block
+    A block is a line, or a window over line ends, as many words long as the template, that holds more of
+    its tokens than each line it touches; its number is that of the line it starts in, which names the best such
+    window only.  labels joins the phrases' labels with those of all templates of which some block
     holds at least `threshold` of the tokens; score is the largest such share, 1 where a phrase stands.
     blocks lists the matches as (block, label, containment).  Null text counts as empty: no words, no
     labels, score 0.  Repeated rows each get a row; other columns are ignored, whatever their names.
@@ -71,15 +74,22 @@ def scan_licenses(
     lines = F.transform(F.split("text", "\n"), lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(token), F.lit(0)), F.lower)))
     base = F.col("n_base") > 0
     rows = rows.select(
-        "id", (_blanks(F.col("spaced")) - 1).alias("n_words"), F.regexp_count("spaced", F.lit("(?i)" + phrase)).cast("long").alias("n_base"), "spaced", lines.alias("lines")
+        "id", (_blanks(F.col("spaced")) - 1).alias("n_words"), F.regexp_count("spaced", F.lit("(?i)" + phrase)).cast("long").alias("n_base"), "spaced", F.split("text", "\n").alias("spaced_lines"), lines.alias("lines")
     ).select(
         "id", "n_words", "n_base",
         F.when(base, _blanks(F.regexp_extract("spaced", f"(?is)^(.*?){phrase}", 1))).alias("first_word"),
         F.when(base, _blanks(F.regexp_extract("spaced", f"(?is)^(.*){phrase}", 1))).alias("last_word"),
         F.when(base, F.array_compact(F.array(*(F.when(F.col("spaced").rlike(f"(?i) {p}(?= )"), F.lit(v)) for p, v in phrases.items())))).otherwise(_strings([])).alias("found"),
         F.array_distinct(F.flatten("lines")).alias("tokens"),
+        "spaced_lines", "lines",
         F.filter(F.transform("lines", lambda x, i: F.struct(i.cast("long").alias("block"), x.alias("tokens"))), lambda b: F.size(b["tokens"]) >= min((_need(t, threshold) for t in map(_tokens, templates.values())), default=1)).alias("blocks"),
     )
+    # Only a text that holds enough tokens of a template anywhere can hold them in a window.
+    whole = F.lit(False)
+    for t in templates.values():
+        whole = whole | (F.size(F.array_intersect("tokens", _strings(_tokens(t)))) >= _need(_tokens(t), threshold))
+    wrapped = whole & (F.size("lines") > 1)
+    rows = rows.withColumns({"words": F.when(wrapped, _places(F.col("spaced_lines"), vocabulary)), "lines": F.when(wrapped, F.col("lines"))}).drop("spaced_lines")
     rows = table(rows, "license_rows")
     counted = {r["token"]: r["n"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
@@ -89,6 +99,7 @@ def scan_licenses(
     for label, t in sorted(templates.items()):
         own = sorted(_tokens(t), key=order.index)
         parts.append(_matches(F.col("blocks"), label, own, _need(own, threshold)))
+        parts.append(_windows(label, own, len(t.split()), _need(own, threshold)))
     matches = F.concat(*parts) if parts else F.array().cast("array<struct<block:long,label:string,containment:double>>")
     found = found.withColumn("matches", matches)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
@@ -119,3 +130,32 @@ def _matches(blocks: Column, label: str, own: Sequence[str], need: int) -> Colum
 
     scored = F.transform(F.filter(blocks, possible), lambda b: F.struct(b["block"].alias("block"), F.lit(label).alias("label"), (F.size(F.array_intersect(b["tokens"], all_)) / F.lit(float(n))).alias("containment")))
     return F.filter(scored, lambda m: m["containment"] >= need / n - 1e-9)
+
+
+def _places(lines: Column, vocabulary: Sequence[str]) -> Column:
+    """Place in the text, line and word of every vocabulary token, in order."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    split = lambda line: F.filter(F.split(F.translate(F.regexp_replace(line, NO_WORD, " "), upper, lower), " "), lambda w: w != "")
+    words = F.flatten(F.transform(lines, lambda line, i: F.transform(split(line), lambda w: F.struct(i.alias("line"), w.alias("w")))))
+    placed = F.transform(words, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["w"].alias("w")))
+    return F.filter(placed, lambda x: F.array_contains(_strings(vocabulary), x["w"]))
+
+
+def _windows(label: str, own: Sequence[str], length: int, need: int) -> Column:
+    """The best window of each line that ends in a later line and holds more tokens than each line it touches."""
+    n, all_ = len(own), _strings(own)
+    held = F.transform("lines", lambda t: F.size(F.array_intersect(t, all_)))
+    hits = F.filter("words", lambda x: F.array_contains(all_, x["w"]))
+
+    def window(h: Column, x: Column, i: Column) -> Column:
+        inside = F.filter(F.slice(h, i + 1, length), lambda y: y["at"] < x["at"] + length)
+        return F.struct(x["line"].alias("line"), F.element_at(inside, -1)["line"].alias("last"), F.size(F.array_distinct(F.transform(inside, lambda y: y["w"]))).alias("m"))
+
+    def more(w: Column, by_line: Column) -> Column:
+        return (w["m"] >= need) & (w["last"] > w["line"]) & (w["m"] > F.array_max(F.slice(by_line, w["line"] + 1, w["last"] - w["line"] + 1)))
+
+    # One-element arrays name a value once, so that it isn't computed for each window.
+    found = F.flatten(F.transform(F.array(F.struct(hits.alias("h"), held.alias("l"))), lambda v: F.filter(F.transform(v["h"], lambda x, i: window(v["h"], x, i)), lambda w: more(w, v["l"]))))
+    best = F.filter(F.transform(F.array_distinct(F.transform(found, lambda w: w["line"])), lambda line: F.struct(line.cast("long").alias("block"), F.lit(label).alias("label"), (F.array_max(F.transform(F.filter(found, lambda w: w["line"] == line), lambda w: w["m"])) / F.lit(float(n))).alias("containment"))), lambda m: m["containment"].isNotNull())
+    able = F.size(F.array_intersect("tokens", all_)) >= need
+    return F.when(F.col("words").isNotNull() & able, best).otherwise(F.array().cast("array<struct<block:long,label:string,containment:double>>"))

@@ -57,3 +57,36 @@ def test_empty_table(none):
 def test_no_python_runs(spark, docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+WRAPPED = [
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "x\nThis Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of",
+    "released\nunder\nthe\nMIT\nlicense",
+    "released the one\n" + "two " * 30 + "\nunder mit license",
+]
+
+
+def best_of_windows(text):
+    """Over the words of the whole text, whatever its lines, and over lines, which may be longer."""
+    w, out = words(text), {}
+    for label, t in licenses.TEMPLATES.items():
+        size, t = len(t.split()), set(t.split())
+        parts = [w[i : i + size] for i in range(len(w))] + [words(x) for x in text.split("\n")]
+        share = max(len(set(p) & t) / len(t) for p in parts)
+        if share >= licenses.THRESHOLD - 1e-9:
+            out[label] = share
+    return out
+
+
+def test_wrapped_notices(spark):
+    df = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, text in enumerate(WRAPPED):
+        want = best_of_windows(text)
+        assert {b.label for b in got[i].blocks} == set(want), text
+        assert got[i].score == (1.0 if got[i].n_base else max(want.values(), default=0.0)), text
+        assert set(want) <= set(filter(None, got[i].labels.split(","))), text
+    assert [bool(best_of_windows(t)) for t in WRAPPED] == [True, True, True, True, False]
+    assert [(b.block, b.label) for b in got[2].blocks] == [(1, "mpl-2.0")]
