@@ -10,20 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import table
+from .work import discard, table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
     low = table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large_star_min")
-    return both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = table(both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large_star")
+    discard(low)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = table(down.groupBy("a").agg(F.min("b").alias("m")), "small_star_min")
     moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low).distinct()
+    out = table(moved.union(low).distinct(), "small_star")
+    discard(low)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -38,7 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, state = None, _state(now)
-    while state != before:
-        now = table(_small_star(table(_large_star(now).distinct(), "large_star")), "small_star")
+    while state != before and state[0]:
+        wide = _large_star(now)
+        done, now = now, _small_star(wide)
+        discard(done, wide)
         before, state = state, _state(now)
-    return now.toDF("node", "root")
+    out = now.toDF("node", "root")
+    out.scratch_root = now.scratch_root
+    return out
