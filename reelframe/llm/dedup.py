@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import fresh, table
+from .work import discard, fresh, table
 
 #: Characters deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -93,21 +93,35 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    A row stays if its digest group keeps its (id, code points); rows that agree in id, code points
-    and digest are repeated rows, of which one stays.  Ids may be null.
+    A row stays if its group of equal texts keeps its (id, code points); rows that agree in id, code points
+    and text are repeated rows, of which one stays.  Ids may be null.  The full hash is computed only for
+    rows that share length and prefix hash with another row; all others stay without it.
     """
-    kid, points, full, copies = fresh(docs, "k_id", "k_points", "k_full", "k_copies")
-    sig = table(_signature(docs, id_col, text_col, True), "dedup_signature")
+    sig = table(_signature(docs, id_col, text_col, False), "dedup_signature")
+    same = _shared(_shared(sig, "len"), "len", "head")
+    keys = table(same.groupBy("len", "head").agg(F.count(F.lit(1)).alias("n")).select("len", "head"), "dedup_survivors")
+    discard(sig, same)
+    norm = normalised(F.col(text_col))
+    own = [F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"), F.octet_length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")]
+    survivors = docs.select(*own, F.col(text_col).alias("text_")).join(keys, ["len", "head"], "left_semi")
+    hashed = survivors.select("id", "points", "len", "head", F.sha2(normalised(F.col("text_")), 256).alias("full"))
+    hashed = table(hashed.groupBy("id", "points", "len", "head", "full").agg(F.count(F.lit(1)).alias("copies")), "dedup_hashed")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    hashed = _shared(_shared(sig, "len"), "len", "head")
-    groups = table(hashed.groupBy("len", "head", "full").agg(best.alias("best")), "dedup_groups_full")
-    rows = sig.join(groups, ["len", "head", "full"], "left")
-    stays = rows.where("best is null or (best.p = -points and best.id <=> id)").groupBy("id", "points", "full").agg(F.count(F.lit(1)).alias("copies"))
-    stays = table(stays.select(F.col("id").alias(kid), F.col("points").alias(points), F.col("full").alias(full), F.col("copies").alias(copies)), "dedup_stays")
-    p2, f2 = fresh(docs, "d_points", "d_full")
-    marked = docs.withColumns({p2: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), f2: F.sha2(normalised(F.col(text_col)), 256)})
-    on = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(p2) == F.col(points)) & (F.col(f2) == F.col(full))
-    return keep_marked(marked, stays, on, copies, [id_col, p2, f2]).select(*docs.columns)
+    groups = table(hashed.groupBy("len", "head", "full").agg(best.alias("best"), F.sum("copies").alias("size")).where("size > 1").drop("size"), "dedup_groups_full")
+    kid, kpoints, klen, khead, kfull = fresh(docs, "k_id", "k_points", "k_len", "k_head", "k_full")
+    met = table(hashed.join(groups, ["len", "head", "full"]).withColumn("stays", F.expr("best.p = -points and best.id <=> id")), "dedup_met")
+    named = lambda rows: rows.select(F.col("id").alias(kid), F.col("points").alias(kpoints), F.col("full").alias(kfull))
+    gone, many = named(met.where("not stays")), named(met.where("stays and copies > 1"))
+    points, len_, head, full = fresh(docs, "d_points", "d_len", "d_head", "d_full")
+    marked = docs.withColumns({points: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), len_: F.octet_length(norm), head: F.xxhash64(F.substring(norm, 1, PREFIX))})
+    known = keys.select(F.col("len").alias(klen), F.col("head").alias(khead))
+    marked = marked.join(known, (F.col(len_) == F.col(klen)) & (F.col(head) == F.col(khead)), "left")
+    marked = marked.withColumn(full, F.when(F.col(klen).isNotNull(), F.sha2(norm, 256)))
+    on = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(points) == F.col(kpoints)) & (F.col(full) == F.col(kfull))
+    kept = marked.join(gone, on, "left_anti")
+    if not many.isEmpty():
+        kept = kept.join(many, on, "left_anti").unionByName(kept.join(many, on, "left_semi").dropDuplicates([id_col, points, full]))
+    return kept.select(*docs.columns)
 
 
 def keep_marked(marked: DataFrame, stays: DataFrame, on: Column, copies: str, key: list[str]) -> DataFrame:

@@ -46,3 +46,12 @@ def test_drop_keeps_one_row_a_text_with_all_columns(docs, rows):
 
 def test_empty_table(none):
     assert dedup.exact_dedup(none).count() == dedup.exact_dedup(none, digest_all=True).count() == dedup.drop_exact_copies(none).count() == 0
+
+
+def test_the_stage_hashes_survivors_only(docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dedup, "table", lambda df, name, write=dedup.table: (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name))[1])
+    plan = dedup.drop_exact_copies(docs)._jdf.queryExecution().optimizedPlan().toString()
+    made = dict(seen)
+    assert "sha2" not in made["dedup_signature"] and "LeftSemi" in made["dedup_hashed"]
+    assert "CASE WHEN isnotnull(k_len" in plan.replace("`", "")
