@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from reelframe.llm import dedup, language, mixing, pieces, simhash
+from reelframe.llm import dedup, language, mixing, pieces, similar
 from reelframe.llm.queries import ORACLE_SQL, QUERIES, vocabulary_path
 
 
@@ -20,7 +20,7 @@ def test_each_stage_on_its_input_and_run(spark, docs, none, tmp_path):
         if name == "exact_dedup":
             assert out.count() == dedup.exact_dedup(now).where("kept").count()
         if name == "near_dedup":
-            assert out.count() == simhash.near_duplicates(now).select("component_id").distinct().count()
+            assert out.count() == similar.near_copies(now).select("component_id").distinct().count()
         if name == "mix":
             assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in mixing.mix(now).collect() for _ in range(r.copies))
         if name == "encode":
