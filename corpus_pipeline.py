@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from reelframe.llm import dedup, language, mixing, pieces, similar, simhash
 from reelframe.llm.queries import vocabulary_path
-from reelframe.llm.work import fresh, shared_dir, table
+from reelframe.llm.work import delete, fresh, scratch, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,6 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those it doesn't take go."""
-    import pyspark.sql.functions as F
-
     kid, khash, copies, dhash, one = fresh(docs, "m_id", "m_hash", "m_copies", "d_hash", "m_one")
     taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias(copies))
     # Repeated rows share their number of copies; each of them is a row of docs.
@@ -51,12 +50,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.  A stage's scratch tables and its input go once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/reelframe/pipeline-{uuid.uuid4().hex}"
+    done = None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{root}/{k}_{name}"
-        out.write.parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if done:
+            delete(spark, done)
+        done = path
     return docs
