@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Families of ISO 639-1 codes.  A label that isn't here is a family of its own.
+#: Families of ISO 639-1 codes.  Labels that aren't here share families of GROUP labels, in order.
 FAMILIES = {
     "ca": "romance", "es": "romance", "fr": "romance", "gl": "romance", "it": "romance", "pt": "romance", "ro": "romance",
     "af": "germanic", "da": "germanic", "de": "germanic", "en": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -28,9 +28,10 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BUCKETS, ORDERS = 2048, 3
-#: Bounds of the training sample: rows in all, rows a label, labels (the most frequent ones).
-MAX_ROWS, MAX_PER_LABEL, MAX_LABELS = 2400, 400, 40
-#: Characters handled at a time.
+GROUP = 8
+#: Bounds of the training sample: distinct texts in all and of a label; every label may have MIN_PER_LABEL, however many there are.
+MAX_ROWS, MAX_PER_LABEL, MIN_PER_LABEL = 2400, 400, 12
+#: Characters handled at a time; n-grams go on across the cuts.
 CHUNK = 1 << 20
 
 _letters: list[np.ndarray] = []
@@ -47,21 +48,23 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     known, total = _letter_table(), np.zeros(BUCKETS * ORDERS, np.int64)
-    seen, carry = False, np.full(1, 32, np.uint32)
-    for at in range(0, len(text), CHUNK):
-        c = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    low = text.lower()
+    seen, carry = False, np.zeros(0, np.uint32)
+    for at in range(0, len(low), CHUNK):
+        c = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), "<u4")
         letter = known[c]
         seen = seen or bool(letter.any())
-        c = np.concatenate([carry, np.where(letter, c, 32).astype(np.uint32)])
-        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]  # runs of other characters count as one blank
+        c = np.where(letter, c, 32).astype(np.uint32)
+        if not at:
+            c = np.concatenate([np.full(1, 32, np.uint32), c])
+        before = np.concatenate([carry[-1:] if at else np.zeros(1, np.uint32), c[:-1]])
+        c = np.concatenate([carry, c[(c != 32) | (before != 32)]])  # runs of other characters count as one blank
         gram = np.zeros(len(c), np.uint32)
-        for k in range(ORDERS):
+        for k in range(min(ORDERS, len(c))):
             gram = (gram[: len(c) - k] * np.uint32(0x01000193)) ^ (c[k:] * np.uint32(0x9E3779B1))
-            bucket = (gram * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 11)
+            bucket = (gram[max(0, len(carry) - k) :] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 11)
             total[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-            if len(c) <= k + 1:
-                break
-        carry = c[-1:]
+        carry = c[1 - ORDERS :]
     if not seen:
         return None
     x = total.reshape(ORDERS, BUCKETS) / np.maximum(1, total.reshape(ORDERS, BUCKETS).sum(1, keepdims=True))
@@ -131,7 +134,9 @@ class Model:
     def fit(cls, x: np.ndarray, langs: np.ndarray, families: dict[str, str] = FAMILIES) -> Model:
         if not len(x):
             return cls()
-        kinds = np.array([families.get(v, "only " + v) for v in langs])
+        others = sorted({v for v in langs if v not in families})
+        group = {v: f"others {k // GROUP}" for k, v in enumerate(others)}
+        kinds = np.array([families.get(v) or group[v] for v in langs])
         return cls(OneVersusOne.fit(x, kinds), {k: OneVersusOne.fit(x[kinds == k], langs[kinds == k]) for k in sorted(set(kinds))})
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -149,16 +154,24 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most MAX_ROWS labelled rows that aren't held out, of at most MAX_LABELS labels."""
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LABELS).collect()
+    """Fit on a bounded sample of the distinct labelled texts that aren't held out and have a letter.
+
+    Every label is learned, from at most MAX_PER_LABEL texts, and MAX_ROWS over all labels unless these are
+    so many that MIN_PER_LABEL each makes more.  Repeated texts count once; of a label's texts those with the smallest
+    hashes are taken.  An empty table, or one without a label, gives a model that knows nothing.
+    """
+    text = F.col(text_col)
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & text.rlike("\\p{L}"))
+    rows = rows.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not counts:
         return Model()
-    most = min(MAX_PER_LABEL, MAX_ROWS // len(counts))
-    # A hash threshold leaves about three times as many rows as are wanted before any row is moved.
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 3 * most / r["n"]))))
+    most = max(MIN_PER_LABEL, min(MAX_PER_LABEL, MAX_ROWS // len(counts)))
+    # A hash threshold leaves some three times as many texts as are wanted before any is moved.
+    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, (3 * most + 30) / max(1, r["n"])))))
     u = F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
-    thin = rows.where(u < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    thin = rows.where(u < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
+    thin = thin.groupBy("lang", "h").agg(F.min("text").alias("text"))
     few = thin.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +191,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per input row: id, held_out, lang_pred, score (0 to 1).
 
     lang_pred is a learned label, or `und` with score 0 if the text is null or has no letter, or nothing was
-    learned.  Only the text enters a prediction.  Whole texts are read, in chunks of bounded size.
-    Repeated rows each get a row; other columns are ignored, whatever their names.
+    learned.  Only the text enters a prediction.  Whole texts are read, very long ones in chunks with the same result.
+    Of families or languages with equally many votes the one with the larger sum of margins wins, then the first by name.
+    Repeated rows each get a row; other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     return _predicted(docs.select(F.col(id_col).alias(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text_")), model.predict)
 

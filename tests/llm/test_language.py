@@ -21,7 +21,7 @@ def labelled(spark):
 
 def test_held_out_accuracy(labelled):
     model = language.train(labelled)
-    assert model.family.classes == ["germanic", "only tlh", "romance"]
+    assert model.family.classes == ["germanic", "others 0", "romance"]
     got = {r.doc_id: r for r in language.identify(labelled, model).collect()}
     truth = {r.doc_id: r.lang for r in labelled.collect()}
     assert len(got) == 605
@@ -49,10 +49,50 @@ def test_training_sees_neither_held_out_rows_nor_other_columns(labelled):
 
 
 def test_features_in_chunks_agree(monkeypatch):
-    text = "Été — où l'eau,  schön 123 end " * 50
-    whole = language.features(text)
-    monkeypatch.setattr(language, "CHUNK", 997)
-    assert np.allclose(language.features(text), whole, atol=0.05) and language.features("1 2") is None
+    for text in ("Été — où l'eau,  schön 123 end " * 50, "a", "  b  ", "Σας ΟΔΟΣ" * 30, "İI" * 40):
+        monkeypatch.setattr(language, "CHUNK", 1 << 20)
+        whole = language.features(text)
+        for chunk in (1, 2, 3, 7, 997):
+            monkeypatch.setattr(language, "CHUNK", chunk)
+            assert np.array_equal(language.features(text), whole)
+    assert language.features("1 2") is None
+
+
+def test_features_against_brute_force():
+    text = "Ab, ça!  x"
+    plain = " ab ça x"
+    total = np.zeros((language.ORDERS, language.BUCKETS))
+    for k in range(language.ORDERS):
+        for i in range(len(plain) - k):
+            gram = 0
+            for c in plain[i : i + k + 1]:
+                gram = (gram * 0x01000193 ^ ord(c) * 0x9E3779B1) % 2**32
+            total[k, (gram * 0x85EBCA6B) % 2**32 >> 21] += 1
+    want = np.sqrt(total / total.sum(1, keepdims=True) / language.ORDERS).astype(np.float32).ravel()
+    assert np.allclose(language.features(text), want)
+
+
+def test_a_hot_repeated_text_hides_no_label(spark):
+    words = {"es": "cada gato come pan", "en": "the cat eats bread and"}
+    rows = [(i, words["es"], "es") for i in range(20_000)] + [(100_000 + i, words["en"] + " " + "x" * (i % 40), "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert sorted(c for w in model.within.values() for c in w.classes) == ["en", "es"]
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model).where("doc_id in (1, 100001)").collect()}
+    assert got == {1: "es", 100_001: "en"}
+
+
+def test_no_cap_on_labels(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(4)]
+        rows += [(k * 100 + i, " ".join(rng.choice(own, 12)), f"l{k:02d}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len({c for w in model.within.values() for c in w.classes}) == 60
+    got = language.identify(df, model).where("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 100:02d}" for r in got]) > 0.8
 
 
 def test_one_label_and_no_label(spark, none):
