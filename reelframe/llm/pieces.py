@@ -2,9 +2,9 @@
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by score (ties: leftmost) and merges the best
 pair until none is a piece; symbols that are no piece become byte pieces.  Words are merged one by one,
-without the punctuation that no piece joins to them, and memoised within bounds.  Every word of an Arrow
-batch that holds a newly merged part is checked against the sentencepiece library; a difference stops
-the job.
+without the punctuation that no piece joins to them, and memoised within bounds.  Decoding goes from the
+ids back to pieces and bytes.  Every word that a memo doesn't know is checked against the sentencepiece library
+within its Arrow batch, ids and decoded text both; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .vocabulary import BLANK, Memo, Vocabulary, load, merge, tail, words
 
-
 #: New words that are checked at a time.
 CHECKED = 10_000
 #: Rows whose ids and texts are held at a time.
@@ -89,52 +88,46 @@ def _utf8(run: bytearray) -> str:
 
 
 class _Word:
-    """The ids of a word, joined by commas.  odd: parts of words that decode to something else than themselves."""
+    """A word's ids, joined by commas, and the pieces that they stand for side by side."""
 
     def __init__(self, model: str) -> None:
-        self.new: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
-        self.made = False
+        self.new: dict[str, tuple[str, str]] = {}
         self.vocabulary, self.library = load(model)
         self.parts: Memo = Memo(self._part, 1_000_000)
         self.words: Memo = Memo(self, 1_600_000)
 
-    def _part(self, part: str) -> str:
-        self.made = True
+    def _part(self, part: str) -> tuple[str, str]:
         ids = word_ids(part, self.vocabulary)
         shown = surface(ids, self.vocabulary, self.library)
-        if shown != part:
-            self.odd[part] = shown
-        return ",".join(map(str, ids))
-
-    def __call__(self, word: str) -> str:
-        at = tail(word, self.vocabulary.inside)
-        self.made = False
-        ids = f"{self.parts[word[:at]]},{self.parts[word[at:]]}" if at else self.parts[word]
-        if self.made:  # else both parts were checked as parts of other words
-            self.new[word] = ids
-        return ids
+        return ",".join(map(str, ids)), part if shown == part else shown  # equal ones share memory
 
-    def _shown(self, word: str) -> str:
+    def __call__(self, word: str) -> tuple[str, str]:
         at = tail(word, self.vocabulary.inside)
-        return "".join([self.odd.get(p, p) for p in ((word[:at], word[at:]) if at else (word,))])
+        if at:
+            (left, shown), (right, end) = self.parts[word[:at]], self.parts[word[at:]]
+            shown += end
+            got = f"{left},{right}", word if shown == word else shown
+        else:
+            got = self.parts[word]
+        self.new[word] = got
+        return got
 
     def document(self, text: str) -> tuple[str, str]:
         """The ids of a text joined by commas, and the text that they decode to."""
-        own = words(text)
         memo = self.words
-        joined = ",".join([memo[w] for w in own])
-        if self.odd:
-            own = [self._shown(w) for w in own]
-        return joined, "".join(own)[1:].replace(BLANK, " ")
+        own = [memo[w] for w in words(text)]
+        return ",".join([ids for ids, _ in own]), "".join([shown for _, shown in own])[1:].replace(BLANK, " ")
 
     def check(self) -> None:
         """The library gets the words without the blank that it puts in front itself; a blank alone is a piece."""
         self.new.pop(BLANK, None)
         theirs = self.library.encode([w[1:].replace(BLANK, " ") for w in self.new], num_threads=1)
-        for (word, ids), other in zip(self.new.items(), theirs, strict=True):
+        texts = self.library.decode(theirs, num_threads=1) if theirs else []
+        for (word, (ids, shown)), other, text in zip(self.new.items(), theirs, texts, strict=True):
             if ids != ",".join(map(str, other)):
                 raise AssertionError(f"{word!r}: merged to {ids}, the library gives {other}")
+            if shown[1:].replace(BLANK, " ") != text:
+                raise AssertionError(f"{word!r}: {ids} decoded to {shown!r}, the library gives {text!r}")
         self.new.clear()
 
 
@@ -142,9 +135,10 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
 
     Null text counts as empty: no ids, empty decoded text.  Whole texts are encoded, without begin or
-    end ids.  check=True compares every new word of a batch with the library's ids and fails on a
-    difference.  Repeated rows each get a row; other columns are ignored, whatever their names.
-    model is a path that the executors can open.
+    end ids.  check=True compares the ids and the decoded text of every word that isn't memoised with the library's
+    and fails on a difference.  Pairs with equal scores merge from the left.  Repeated rows each get a row; other
+    columns are ignored, whatever their names.  An empty table gives an empty result.  model is a path that the
+    executors can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

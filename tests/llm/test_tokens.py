@@ -54,11 +54,27 @@ def test_rows(spark, docs, rows):
 def test_a_difference_from_the_library_stops_the_job():
     make = pieces._Word(MODEL)
     make.document("some words")
-    make.new["▁some"] = "1,2"
+    make.new["▁some"] = "1,2", "▁some"
     with pytest.raises(AssertionError, match="the library gives"):
         make.check()
 
 
+def test_a_difference_in_the_decoded_text_stops_the_job():
+    make = pieces._Word(MODEL)
+    make.document("some words")
+    make.new["▁some"] = make.new["▁some"][0], "▁same"
+    with pytest.raises(AssertionError, match="decoded to"):
+        make.check()
+
+
+def test_words_of_known_parts_are_checked_too():
+    make = pieces._Word(MODEL)
+    make.document("words, some.")
+    make.check()
+    make.document("words. some, new")
+    assert {"▁words.", "▁some,", "▁new"} <= set(make.new)
+
+
 def test_empty_table_and_bounded_memo(none):
     assert pieces.encode_decode(none, MODEL).count() == counts.count_tokens(none, MODEL).count() == 0
     memo = vocabulary.Memo(len, 10)
