@@ -40,7 +40,8 @@ def format_chats(
     holds the turns after the last reply (and in that of a conversation without a reply).  Turns go by
     turn number (null first), then role, then text.  Null roles and texts count as empty.  A null id is
     a conversation of its own; repeated rows are turns of their own.  Other columns are ignored,
-    whatever their names.  An empty table gives an empty result.
+    whatever their names.  An empty table gives an empty result.  Very long texts are formatted as a whole; a
+    conversation's turns meet in one row, and every reply repeats the turns before it.
     """
     body = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chats = turns.select(F.col(conv_col).alias("id"), body.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

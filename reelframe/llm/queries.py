@@ -56,8 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the formatted examples: the last example of a conversation holds all its turns."""
-    both = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-7, 0, "user", _BOTH), (-7, 1, "assistant", _BOTH)], "conv_id long, turn long, role string, text string")
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     rows = chat.format_chats(turns)
     read = F.when(F.col("example") == F.col("n_examples") - 1, chat.read_turns(F.col("text")))
@@ -97,10 +96,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+_BOTH = "\\### Assistant: </turn> ok"
+
+
+def _escaped(col: str) -> str:
+    """Length of an escaped text: a backslash more for each backslash, each `</turn>` and each # after another."""
+    count = lambda s: f"(length({col}) - length(replace({col}, '{s}', ''))) // {len(s)}"
+    return f"(length({col}) + {count(chr(92))} + {count('</turn>')} + {count('#')} - len(regexp_extract_all({col}, '#+')))"
+
+
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 #: Only queries whose every column SQL gives; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    # An example holds all turns up to its reply; turns after the last reply are one more example.
+    "op8_chat": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '{_BOTH}' UNION ALL SELECT -7, 1, 'assistant', '{_BOTH}'),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                     14 + {_escaped("role")} + length(role) - length(replace(role, ':', '')) + {_escaped("text")} AS chars FROM t),
+        u AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o),
+        c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+                     coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+              FROM u GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
     "op9_topk": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -1,10 +1,11 @@
 import hashlib
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from reelframe.llm import chat
-from reelframe.llm.queries import op8_chat
+from reelframe.llm.queries import ORACLE_SQL, op8_chat
 
 TURNS = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -54,6 +55,30 @@ def test_query_reads_everything_back(spark, tmp_path):
         assert got[c].turns_sha256 == sha("".join(f"{t[1] or ''}\n{t[2] or ''}\n" for t in turns))
 
 
+def escaped(text):
+    return re.sub("(?<=#)#", r"\\#", text.replace("\\", "\\\\").replace("</turn>", "<\\/turn>"))
+
+
+def test_formatted_chars_against_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [*ROWS, *((9, i, "assistant" if i % 3 == 2 else "user", "####" * (i % 4) + "\\" * (i % 3) + "x" * (i % 50)) for i in range(600))]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in op8_chat(spark, str(tmp_path)).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((r[1:] for r in rows if r[0] == c), key=lambda t: (t[0] is not None, t[0] or 0, t[1] or "", t[2] or ""))
+        shown = [f"### {escaped(t[1] or '').replace(':', chr(92) + ':')}: {escaped(t[2] or '')}</turn>\n" for t in turns]
+        ends = [i for i, t in enumerate(turns) if t[1] == "assistant" or i == len(turns) - 1]
+        assert got[c].formatted_chars == sum(len("".join(shown[: i + 1])) for i in ends)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(ORACLE_SQL["op8_chat"])
+    names = sorted(rel.columns)
+    assert names == sorted(next(iter(got.values())).asDict())
+    want = sorted(str([dict(zip(rel.columns, r, strict=True))[n] for n in names]) for r in rel.fetchall())
+    assert want == sorted(str([r[n] for n in names]) for r in got.values())
+
+
 def test_empty_table_and_no_python(spark):
     rows = chat.format_chats(spark.createDataFrame(ROWS, TURNS).where("false"))
     assert rows.count() == 0 and "Python" not in rows._jdf.queryExecution().toString()
