@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..operators import grading as ops
-from ..sources.views import PIXELS_SQL, pixels, read
+from ..sources.views import FRAME_SIDE, FRAMES_SQL, PIXELS_SQL, frames, pixels, read
 from .registry import query
 
 REFERENCE = "NO"
@@ -23,9 +23,9 @@ def _f(c: str) -> str:
 
 def lab_sql(source: str, keep: str) -> str:
     m, w = colour.RGB_TO_XYZ, colour.WHITE
-    xyz = ", ".join(f"(lr * {r[0]!r}::DOUBLE + lg * {r[1]!r}::DOUBLE + lb * {r[2]!r}::DOUBLE) / {v!r}::DOUBLE AS {n}" for r, v, n in zip(m, w, "xyz", strict=True))
+    xyz = ", ".join(f"(lr * {r[0]!r}::DOUBLE + lg * {r[1]!r}::DOUBLE + lb * {r[2]!r}::DOUBLE) / {v!r}::DOUBLE AS {n}" for r, v, n in zip(m, w, ("qx", "qy", "qz"), strict=True))
     return f"""lin AS (SELECT {keep}, {_lin('r')} AS lr, {_lin('g')} AS lg, {_lin('b')} AS lb FROM {source}), xyz AS (SELECT {keep}, {xyz} FROM lin),
-    ff AS (SELECT {keep}, {_f('x')} AS fx, {_f('y')} AS fy, {_f('z')} AS fz FROM xyz),
+    ff AS (SELECT {keep}, {_f('qx')} AS fx, {_f('qy')} AS fy, {_f('qz')} AS fz FROM xyz),
     lab AS (SELECT {keep}, 116.0::DOUBLE * fy - 16.0::DOUBLE AS light, 500.0::DOUBLE * (fx - fy) AS a, 200.0::DOUBLE * (fy - fz) AS b_ FROM ff)"""
 
 
@@ -129,12 +129,161 @@ def chroma_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(m, ["frame"], ["a", "b_", "spread"])
 
 
-@query("SELECT b * 1089 + g * 33 + r AS pos, r / 32.0::DOUBLE AS r, g / 32.0::DOUBLE AS g, b / 32.0::DOUBLE AS b FROM generate_series(0, 32) AS x(r), generate_series(0, 32) AS y(g), generate_series(0, 32) AS z(b)")
+@query("""WITH g AS (SELECT 'f' || (p_partkey // 400) AS frame, CAST(p_partkey % 400 // 20 AS BIGINT) AS y, CAST(p_partkey % 20 AS BIGINT) AS x, p_size / 50.0::DOUBLE AS gray FROM part), e AS (SELECT frame, max(x) AS mx, max(y) AS my, min(x) AS nx, min(y) AS ny FROM g GROUP BY frame),
+    full_ AS (SELECT frame FROM g GROUP BY frame HAVING count(*) = 400), k AS (SELECT g.* FROM g JOIN full_ USING (frame)),
+    b AS (SELECT k.frame, k.y, k.x, avg(n.gray) AS blur FROM k JOIN e USING (frame), generate_series(-2, 2) AS dx(dx), generate_series(-2, 2) AS dy(dy), k n WHERE n.frame = k.frame AND n.x = least(mx, greatest(nx, k.x + dx)) AND n.y = least(my, greatest(ny, k.y + dy)) GROUP BY ALL)
+    SELECT frame, y, x, round(blur, 6) AS blur FROM b""")
+def box_blur_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as frames of 20 by 20 pixels."""
+    k = F.col("p_partkey")
+    g = read(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.floor(k / 400).cast("string")).alias("frame"), F.floor(k % 400 / 20).cast("long").alias("y"), (k % 20).cast("long").alias("x"), (F.col("p_size") / F.lit(50.0)).alias("gray"))
+    whole = g.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where("n = 400")
+    return _rounded(ops.box_blur(g.join(whole, "frame", "left_semi"), "frame"), ["frame", "y", "x"], ["blur"], 6)
+
+
+#: The frame that others are matched to, and pixels above which small frames are measured.
+GOAL, ENOUGH = "f1", (10, 20)
+_CHANNELS = ("light", "a", "b_")
+
+
+def _curves_sql(source: str) -> str:
+    """CTEs that end in kn(frame, ch, q, x, y): the smoothed, capped curves."""
+    pad = lambda new, old, half: f"""{new} AS (SELECT frame, ch, d AS q, v FROM {old}, generate_series({-half}, {255 + half}) AS g(d) WHERE {old}.q = least(255, greatest(0, d)))"""
+    mean = lambda new, old, half: f"""{new} AS (SELECT * FROM (SELECT frame, ch, q, avg(v) OVER (PARTITION BY frame, ch ORDER BY q ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS v FROM {old}) WHERE q BETWEEN 0 AND 255)"""
+    lists = " UNION ALL ".join(f"SELECT frame, '{c}' AS ch, quantile_cont({c}, [{_Q}]) AS v FROM {source} GROUP BY frame" for c in _CHANNELS)
+    return f"""ql AS ({lists}), q0 AS (SELECT frame, ch, generate_subscripts(v, 1) - 1 AS q, unnest(v) AS v FROM ql),
+    {pad('p1', 'q0', 4)}, {mean('q1', 'p1', 4)}, {pad('p2', 'q1', 4)}, {mean('q2', 'p2', 4)},
+    tp AS (SELECT frame, ch, q, least(1.0, least(q, 255 - q) / 12.0::DOUBLE) AS w, q2.v AS twice, q0.v AS raw FROM q2 JOIN q0 USING (frame, ch, q)),
+    sm AS (SELECT frame, ch, q, max(w * twice + (1 - w) * raw) OVER (PARTITION BY frame, ch ORDER BY q) AS v FROM tp),
+    kp AS (SELECT s.frame, s.ch, s.q, s.v AS x, r.v AS y FROM sm s JOIN sm r ON s.ch = r.ch AND s.q = r.q WHERE r.frame = '{GOAL}'),
+    d1 AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM kp WHERE ch = 'light' WINDOW w AS (PARTITION BY frame ORDER BY q)),
+    d2 AS (SELECT *, CASE WHEN dx > 1e-9 THEN dy / dx ELSE 0.0::DOUBLE END AS s FROM d1),
+    md AS (SELECT frame, coalesce(quantile_cont(s, 0.5) FILTER (q < 247 AND dx > 1e-9), 1.0::DOUBLE) AS m FROM d2 GROUP BY frame),
+    d3 AS (SELECT d2.*, least(greatest(s, 0.0::DOUBLE), CASE WHEN q < 247 THEN greatest(1.6::DOUBLE, 2.2::DOUBLE * m) ELSE greatest(3.5::DOUBLE, 1.8::DOUBLE * m) END) * dx AS step FROM d2 JOIN md USING (frame)),
+    z0 AS (SELECT frame, q, x, y, first_value(y) OVER w + coalesce(sum(step) OVER (PARTITION BY frame ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS z FROM d3 WINDOW w AS (PARTITION BY frame ORDER BY q)),
+    en AS (SELECT frame, max(z) FILTER (q = 248) AS kink, max(z) FILTER (q = 255) AS last, max(y) FILTER (q = 255) AS goal FROM z0 GROUP BY frame),
+    z1 AS (SELECT frame, q, x, CASE WHEN goal - last > 0.5 AND last - kink > 1e-6 AND q > 247 THEN kink + (z - kink) * (last - kink + goal - last) / (last - kink) ELSE z END AS z FROM z0 JOIN en USING (frame)),
+    pe AS (SELECT frame, d AS q, z FROM z1, generate_series(234, 258) AS g(d) WHERE z1.q = least(256 - 1, greatest(236, d)) AND d BETWEEN 234 AND 257 OR z1.q = 255 AND d = 258),
+    ea AS (SELECT frame, q, avg(z) OVER (PARTITION BY frame ORDER BY q ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS e FROM pe),
+    z2 AS (SELECT z1.frame, z1.q, x, CASE WHEN z1.q BETWEEN 236 AND 255 THEN z * (1 - mix) + e * mix ELSE z END AS z FROM (SELECT *, 2.0::DOUBLE * least((q - 236) / 19.0::DOUBLE, 1.0::DOUBLE - (q - 236) / 19.0::DOUBLE) AS mix FROM z1) z1 LEFT JOIN ea ON z1.frame = ea.frame AND z1.q = ea.q),
+    kn AS (SELECT frame, 'light' AS ch, q, x, max(z) OVER (PARTITION BY frame ORDER BY q) AS y FROM z2 UNION ALL SELECT frame, ch, q, x, y FROM kp WHERE ch <> 'light')"""
+
+
+_F = f"WITH {FRAMES_SQL}, {lab_sql('frames', 'frame, y, x, r, g, b')}"
+_CURVES = f"{_F}, {_curves_sql('lab')}"
+
+
+@query(_CURVES + " SELECT frame, ch AS channel, CAST(q AS INTEGER) AS q, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y FROM kn")
+def histogram_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves that match every frame's quantiles to those of one frame: smoothed twice, lightness with capped slopes."""
+    lab = ops.with_lab(frames(spark, sf_dir))
+    return _rounded(ops.histogram_curves(lab, lab.where(F.col("frame") == GOAL), "frame"), ["frame", "channel", "q"], ["x", "y"])
+
+
+def _at(v: str, c: str) -> str:
+    i = f"len(list_filter(x_{c}, lambda k: k <= {v}))"
+    return f"CASE WHEN {i} = 0 THEN y_{c}[1] WHEN {i} >= 256 OR x_{c}[{i} + 1] <= x_{c}[{i}] THEN y_{c}[{i}] ELSE y_{c}[{i}] + ({v} - x_{c}[{i}]) * (y_{c}[{i} + 1] - y_{c}[{i}]) / (x_{c}[{i} + 1] - x_{c}[{i}]) END"
+
+
+_KNOTS = "ka AS (SELECT frame, " + ", ".join(f"list({f} ORDER BY q) FILTER (ch = '{c}') AS {f}_{c}" for c in _CHANNELS for f in "xy") + " FROM kn GROUP BY frame)"
+_MATCHED = f"{_CURVES}, {_KNOTS}, mt AS (SELECT lab.*, " + ", ".join(f"{_at(c, c)} AS m_{c}" for c in _CHANNELS) + " FROM lab JOIN ka USING (frame))"
+
+
+@query(_MATCHED + " SELECT frame, y, x, round(m_light, 3) + 0.0::DOUBLE AS light, round(m_a, 3) + 0.0::DOUBLE AS a, round(m_b_, 3) + 0.0::DOUBLE AS b_ FROM mt")
+def histogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = ops.with_lab(frames(spark, sf_dir))
+    m = ops.histogram_match(lab, ops.histogram_curves(lab, lab.where(F.col("frame") == GOAL), "frame"), "frame")
+    return _rounded(m.select("frame", "y", "x", *(F.col(f"to_{c}").alias(c) for c in _CHANNELS)), ["frame", "y", "x"], list(_CHANNELS), 3)
+
+
+def _blur_sql(name: str, source: str, key: str, v: str, half: int) -> str:
+    top = FRAME_SIDE - 1
+    return f"""{name} AS (SELECT k.{key}, k.y, k.x, avg(n.{v}) AS {name} FROM {source} k, generate_series({-half}, {half}) AS gx(dx), generate_series({-half}, {half}) AS gy(dy), {source} n
+        WHERE n.{key} = k.{key} AND n.x = least({top}, greatest(0, k.x + dx)) AND n.y = least({top}, greatest(0, k.y + dy)) GROUP BY ALL)"""
+
+
+def _rgb_sql() -> str:
+    back = lambda f: f"CASE WHEN {f} * {f} * {f} > 216.0::DOUBLE / 24389.0::DOUBLE THEN {f} * {f} * {f} ELSE (116.0::DOUBLE * {f} - 16.0::DOUBLE) / {24389.0 / 27.0!r}::DOUBLE END"
+    enc = lambda c: f"CASE WHEN {c} <= 0.0031308::DOUBLE THEN {c} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(greatest({c}, 0.0::DOUBLE), 1.0::DOUBLE / 2.4::DOUBLE) - 0.055::DOUBLE END"
+    m = ", ".join(f"X * {r[0]!r}::DOUBLE + Y * {r[1]!r}::DOUBLE + Z * {r[2]!r}::DOUBLE AS l{n}" for r, n in zip(colour.XYZ_TO_RGB, "rgb", strict=True))
+    w = colour.WHITE
+    return f"""h1 AS (SELECT *, (t_light + 16.0::DOUBLE) / 116.0::DOUBLE AS fy FROM tr), h2 AS (SELECT *, fy + t_a / 500.0::DOUBLE AS fx, fy - t_b_ / 200.0::DOUBLE AS fz FROM h1),
+    h3 AS (SELECT * EXCLUDE (x, y), x AS px, y AS py, ({back('fx')}) * {w[0]!r}::DOUBLE AS cx, ({back('fy')}) * {w[1]!r}::DOUBLE AS cy, ({back('fz')}) * {w[2]!r}::DOUBLE AS cz FROM h2),
+    h4 AS (SELECT *, {m.replace('X *', 'cx *').replace('Y *', 'cy *').replace('Z *', 'cz *')} FROM h3),
+    h5 AS (SELECT *, {", ".join(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {enc('l' + n)})) AS o{n}" for n in "rgb")} FROM h4),
+    h6 AS (SELECT *, ({_lin('"or"')}) * {colour.RGB_TO_XYZ[1][0]!r}::DOUBLE + ({_lin('og')}) * {colour.RGB_TO_XYZ[1][1]!r}::DOUBLE + ({_lin('ob')}) * {colour.RGB_TO_XYZ[1][2]!r}::DOUBLE AS oy FROM h5)""".replace("AS or,", 'AS "or",')
+
+
+def _attempts_sql(strengths: list[float]) -> str:
+    s = ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(strengths))
+    rep = lambda light, a, b: _REP.format(light, a, b)
+    ratio = lambda m: f"o_{m} / greatest(s_{m}, 1e-6::DOUBLE)"
+    masks = {"all": "TRUE", "shadow": "light < 30.0", "smooth": "abs(gray - b7) * 100.0::DOUBLE < 0.8"}
+    spread = ", ".join(f"stddev_pop(gray - b5) FILTER ({m}) AS s_{n}, stddev_pop(og_ - ob5) FILTER ({m}) AS o_{n}, count(*) FILTER ({m}) AS n_{n}" for n, m in masks.items())
+    lost = lambda m, n: f"CASE WHEN count(*) FILTER ({m}) > {n} THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - count(DISTINCT CASE WHEN {m} THEN round(result, 1) END) / greatest(count(DISTINCT CASE WHEN {m} THEN round(light, 1) END), 1)) ELSE 0.0::DOUBLE END"
+    mean_at = {"light": "l", "a": "a", "b_": "b"}
+    middle = ", ".join(f"{_at('m' + n, c)} AS p_{c}" for c, n in mean_at.items())
+    weight = "(0.55::DOUBLE + 0.45::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, {0} / 100.0::DOUBLE)))"
+    return f"""{_F}, gr AS (SELECT *, (r + g + b) / 3.0::DOUBLE AS gray FROM frames), {_curves_sql('lab')}, {_KNOTS},
+    {_blur_sql('b5', 'gr', 'frame', 'gray', 2)}, {_blur_sql('b7', 'gr', 'frame', 'gray', 3)}, {_blur_sql('l7', 'lab', 'frame', 'light', 3)},
+    st AS (SELECT frame, avg(light) AS ml, avg(a) AS ma, avg(b_) AS mb FROM lab GROUP BY frame), rf AS (SELECT ml AS rml, ma AS rma, mb AS rmb FROM st WHERE frame = '{GOAL}'),
+    sg AS (SELECT * FROM (VALUES {s}) AS v(try, s)),
+    px AS (SELECT lab.*, gray, b5, b7, l7, ml, ma, mb, rf.*, {_at('light', 'light')} AS m_light FROM lab JOIN gr USING (frame, y, x) JOIN b5 USING (frame, y, x) JOIN b7 USING (frame, y, x) JOIN l7 USING (frame, y, x) JOIN ka USING (frame) JOIN st USING (frame), rf),
+    tr AS (SELECT px.*, try, s, frame || '#' || try AS shot, light + s * (m_light - light) AS t_light, a + (rma - ma) * s * {weight.format('light')} AS t_a, b_ + (rmb - mb) * s * {weight.format('light')} AS t_b_ FROM px, sg),
+    {_rgb_sql()},
+    af AS (SELECT * EXCLUDE (px, py), px AS x, py AS y, ("or" + og + ob) / 3.0::DOUBLE AS og_, 116.0::DOUBLE * ({_f('oy')}) - 16.0::DOUBLE AS result FROM h6),
+    {_blur_sql('ob5', 'af', 'shot', 'og_', 2)}, fl AS (SELECT af.*, ob5 FROM af JOIN ob5 USING (shot, y, x)),
+    nz AS (SELECT shot, any_value(frame) AS frame, any_value(try) AS try, any_value(s) AS strength, {spread}, avg(CASE WHEN light > 96.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cs, avg(CASE WHEN result > 96.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cr,
+           {lost('result > 80', ENOUGH[0])} AS posterization, {lost('abs(light - l7) < 0.8', ENOUGH[1])} AS banding, {rep('t_light', 't_a', 't_b_')} FROM fl GROUP BY shot),
+    sr AS (SELECT frame, {rep('light', 'a', 'b_')} FROM lab GROUP BY frame), wp AS (SELECT frame, quantile_cont(light, 0.995) AS wp FROM lab GROUP BY frame),
+    hz AS (SELECT frame, avg(CASE WHEN abs(light - l7) < 0.8 AND light > wp - 6.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS haze FROM px JOIN wp USING (frame) GROUP BY frame),
+    mp AS (SELECT st.*, rf.*, {middle} FROM st JOIN ka USING (frame), rf),
+    de AS (SELECT frame, try, sqrt((ml - rml) ** 2 + (ma - rma) ** 2 + (mb - rmb) ** 2) AS before, sqrt((ml + s * (p_light - ml) - rml) ** 2 + (ma + (rma - ma) * s * {weight.format('ml')} - rma) ** 2 + (mb + (rmb - mb) * s * {weight.format('ml')} - rmb) ** 2) AS after FROM mp, sg),
+    ms AS (SELECT nz.frame, nz.try, nz.strength, before, after, CASE WHEN before > 1e-6 THEN 1.0::DOUBLE - after / before ELSE 0.0::DOUBLE END AS shrink, round({ratio('all')}, 2) AS overall_ratio, round(CASE WHEN n_shadow > 0 THEN {ratio('shadow')} ELSE {ratio('all')} END, 2) AS shadow_ratio,
+           round(CASE WHEN n_smooth > {ENOUGH[1]} THEN {ratio('smooth')} ELSE 1.0::DOUBLE END, 2) AS smooth_ratio, cs, cr, posterization, banding, haze, sr.black AS sb, sr.white AS sw, sr.chroma AS sc, nz.black, nz.white, nz.contrast, nz.chroma, rr.black AS rb, rr.white AS rw, rr.contrast AS rc, rr.chroma AS rch
+           FROM nz JOIN de ON nz.frame = de.frame AND nz.try = de.try JOIN hz ON hz.frame = nz.frame JOIN sr ON sr.frame = nz.frame, (SELECT * FROM sr WHERE frame = '{GOAL}') rr),
+    fg AS (SELECT *, list_filter([CASE WHEN contrast < 0.8::DOUBLE * rc THEN 'flat' END, CASE WHEN chroma < 0.6::DOUBLE * sc AND chroma < 0.85::DOUBLE * rch THEN 'washed_out' END, CASE WHEN black > rb + 8 THEN 'milky' END,
+      CASE WHEN white < least(rw, sw + CASE WHEN haze > 0.10 THEN 6.0 ELSE 14.0 END) - 6 THEN 'dim' END, CASE WHEN shadow_ratio > 1.6 OR overall_ratio > 1.5 OR smooth_ratio > 1.6 THEN 'noisy' END, CASE WHEN cr - cs > 0.005 THEN 'clipped' END,
+      CASE WHEN posterization > 0.25 THEN 'posterized' END, CASE WHEN banding > 0.3 THEN 'banding' END], lambda x: x IS NOT NULL) AS f FROM ms)"""
+
+
+_SHOWN = ["before", "after", "shrink", "overall_ratio", "shadow_ratio", "smooth_ratio", "posterization", "banding", "haze"]
+
+
+@query(_attempts_sql([1.0]) + " SELECT frame, " + ", ".join(f"round({c}, 2) + 0.0::DOUBLE AS {c}" for c in _SHOWN) + ", array_to_string(f, ',') AS flags, len(f) = 0 AS acceptable FROM fg")
+def color_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame matched to one by its histogram with the chroma kept: distances, noise ratios, damage, haze and flags."""
+    rows = frames(spark, sf_dir)
+    found = ops.attempts(rows, rows.where(F.col("frame") == GOAL), "frame", [1.0], enough=ENOUGH)
+    return _rounded(found.withColumns({"flags": F.array_join("flags", ",")}), ["frame", "flags", "acceptable"], _SHOWN, 2)
+
+
+@query(_attempts_sql([1.0, 0.8, 0.64]) + """, rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY len(f), try) AS k FROM fg)
+    SELECT frame, try, strength, array_to_string(f, ',') AS flags, CASE WHEN len(f) = 0 THEN 'graded' ELSE 'needs_human' END AS status, round(shrink, 2) + 0.0::DOUBLE AS shrink FROM rk WHERE k = 1""")
+def grade_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strengths of the retry schedule at once; of each frame the first acceptable one, else the one with the fewest flags."""
+    rows = frames(spark, sf_dir)
+    found = ops.attempts(rows, rows.where(F.col("frame") == GOAL), "frame", ops.strengths(1.0), enough=ENOUGH)
+    best = ops.best_attempt(found, "frame").withColumn("flags", F.array_join("flags", ","))
+    return _rounded(best, ["frame", "try", "strength", "flags", "status"], ["shrink"], 2)
+
+
+_GRID = "SELECT b * 4225 + g * 65 + r AS pos, r / 64.0::DOUBLE AS r, g / 64.0::DOUBLE AS g, b / 64.0::DOUBLE AS b FROM generate_series(0, 64) AS x(r), generate_series(0, 64) AS y(g), generate_series(0, 64) AS z(b)"
+
+
+@query(_GRID)
 def lut_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lut_grid(spark, 33)
+    return ops.lut_grid(spark)
+
 
+def _baked_sql() -> str:
+    moved = ", ".join(f"(gl.{c} - s.m{n}) * (r.s{n} / CASE WHEN s.s{n} < 1e-6 THEN 1.0 ELSE s.s{n} END) + r.m{n} AS t_{c}" for c, n in (("light", "l"), ("a", "a"), ("b_", "b")))
+    grid_lab = lab_sql("gd", "pos").replace("lin AS", "glin AS").replace("FROM lin)", "FROM glin)").replace(" xyz AS", " gxyz AS").replace("FROM xyz)", "FROM gxyz)").replace("ff AS", "gff AS").replace("FROM ff)", "FROM gff)").replace("lab AS", "gl AS")
+    return f"""{_STATS}, gd AS ({_GRID}), {grid_lab}, tr AS (SELECT pos, 0 AS x, 0 AS y, {moved} FROM gl, (SELECT * FROM st WHERE frame = 'RF') s, (SELECT * FROM st WHERE frame = 'NO') r), {_rgb_sql()}
+    SELECT pos, round("or", 6) + 0.0::DOUBLE AS r, round(og, 6) + 0.0::DOUBLE AS g, round(ob, 6) + 0.0::DOUBLE AS b FROM h5"""
 
-@query()
+
+@query(_baked_sql())
 def lut_baked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 65-point LUT of a match of one frame to another."""
     st = ops.stats(_lab(spark, sf_dir), "frame")
@@ -143,16 +292,14 @@ def lut_baked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.bake(ops.lut_grid(spark), match), ["pos"], ["r", "g", "b"], 6)
 
 
-@query("""WITH g AS (SELECT 'f' || (p_partkey // 400) AS frame, CAST(p_partkey % 400 // 20 AS BIGINT) AS y, CAST(p_partkey % 20 AS BIGINT) AS x, p_size / 50.0::DOUBLE AS gray FROM part), e AS (SELECT frame, max(x) AS mx, max(y) AS my, min(x) AS nx, min(y) AS ny FROM g GROUP BY frame),
-    full_ AS (SELECT frame FROM g GROUP BY frame HAVING count(*) = 400), k AS (SELECT g.* FROM g JOIN full_ USING (frame)),
-    b AS (SELECT k.frame, k.y, k.x, avg(n.gray) AS blur FROM k JOIN e USING (frame), generate_series(-2, 2) AS dx(dx), generate_series(-2, 2) AS dy(dy), k n WHERE n.frame = k.frame AND n.x = least(mx, greatest(nx, k.x + dx)) AND n.y = least(my, greatest(ny, k.y + dy)) GROUP BY ALL)
-    SELECT frame, y, x, round(blur, 6) AS blur FROM b""")
-def box_blur_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as frames of 20 by 20 pixels."""
-    k = F.col("p_partkey")
-    g = read(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.floor(k / 400).cast("string")).alias("frame"), F.floor(k % 400 / 20).cast("long").alias("y"), (k % 20).cast("long").alias("x"), (F.col("p_size") / F.lit(50.0)).alias("gray"))
-    whole = g.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where("n = 400")
-    return _rounded(ops.box_blur(g.join(whole, "frame", "left_semi"), "frame"), ["frame", "y", "x"], ["blur"], 6)
+@query(_F + f""", wp AS (SELECT frame, quantile_cont(light, 0.995) AS wp FROM lab GROUP BY frame), {_blur_sql('l7', 'lab', 'frame', 'light', 3)},
+    hz AS (SELECT frame, avg(CASE WHEN abs(light - l7) < 0.8 AND light > wp - 6.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS haze FROM lab JOIN l7 USING (frame, y, x) JOIN wp USING (frame) GROUP BY frame)
+    SELECT CAST(substr(frame, 2) AS BIGINT) // 3 AS clip, round(max(haze), 4) AS haze FROM hz GROUP BY ALL""")
+def haze_worst_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three frames stand for a clip; its haze is that of its worst frame."""
+    lab = ops.box_blur(ops.with_lab(frames(spark, sf_dir)), "frame", 3, "light")
+    clip = F.floor(F.substring("frame", 2, 20).cast("long") / 3).alias("clip")
+    return _rounded(ops.worst_frame(ops.haze_fraction(lab, "frame").select(clip, "haze"), "clip", ["haze"]), ["clip"], ["haze"])
 
 
 @query("""WITH s AS (SELECT c_custkey AS k, (c_custkey % 21) / 20.0::DOUBLE AS s FROM customer), t AS (SELECT k, n, round(greatest(s * pow(0.8::DOUBLE, n), 0.5::DOUBLE), 4) AS v FROM s, generate_series(0, 2) AS g(n)),

@@ -113,6 +113,28 @@ pixels AS (SELECT l_returnflag || l_linestatus AS frame, least(1.0::DOUBLE, grea
 """
 
 
+FRAME_SIDE = 10
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, y, x, r, g, b (0 to 1): parts as square frames, slopes of light with some noise; only whole frames."""
+    k, area = F.col("p_partkey").cast("long"), FRAME_SIDE**2
+    no, place = F.floor(k / area), k % area
+    y, x = F.floor(place / FRAME_SIDE).cast("long"), place % FRAME_SIDE
+    base = (x + y) / F.lit(2.0 * FRAME_SIDE)
+    rgb = (base * 0.8 + F.col("p_size") / 500.0, base * 0.7 + no % 5 / 10.0, base * 0.5 + k % 7 / 200.0 + no % 3 / 5.0)
+    one = lambda c: F.least(F.lit(1.0), c)
+    rows = read(spark, sf_dir, "part").select(F.concat(F.lit("f"), no.cast("string")).alias("frame"), y.alias("y"), x.alias("x"), *(one(c).alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+    return rows.join(rows.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == area).select("frame"), "frame", "left_semi")
+
+
+FRAMES_SQL = f"""
+cut AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_size, k // {FRAME_SIDE**2} AS no, k % {FRAME_SIDE**2} // {FRAME_SIDE} AS y, k % {FRAME_SIDE} AS x, (k % {FRAME_SIDE} + k % {FRAME_SIDE**2} // {FRAME_SIDE}) / {2.0 * FRAME_SIDE}::DOUBLE AS base FROM part),
+frames AS (SELECT 'f' || no AS frame, y, x, least(1.0::DOUBLE, base * 0.8::DOUBLE + p_size / 500.0::DOUBLE) AS r, least(1.0::DOUBLE, base * 0.7::DOUBLE + no % 5 / 10.0::DOUBLE) AS g,
+           least(1.0::DOUBLE, base * 0.5::DOUBLE + k % 7 / 200.0::DOUBLE + no % 3 / 5.0::DOUBLE) AS b FROM cut WHERE no IN (SELECT no FROM cut GROUP BY no HAVING count(*) = {FRAME_SIDE**2}))
+"""
+
+
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, integrated, true_peak, lra: whole thousandths of a unit, mapped from orders; some are null."""
     o = read(spark, sf_dir, "orders")
