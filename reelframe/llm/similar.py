@@ -9,8 +9,9 @@ thinned to KEPT, which keeps the guarantee and lets most pairs some bits beyond
 shingle sets of the pairs that meet decide, so nothing is linked that isn't similar.
 
 The tables' rows are dealt once and sorted; a stream over them passes on the buckets with two or more.
-In a crowded bucket most pairs say what is known already: first, each bucket's members meet one of
-them; then those pairs meet whose members are still in different components.
+Two more streams over these propose pairs, so that no join pairs up a bucket.  In a crowded bucket
+most pairs say what is known already: first, each bucket's members meet the one of them that is in most
+buckets, up to FAR bits; then those meet that are still in different components, within RADIUS.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,15 +31,13 @@ from .work import discard, table
 SHINGLE = 5
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
-RADIUS = 7
+#: Bits within which all pairs are compared, and bits up to which those that share a bucket may be: 0.8 of the bits agree.
+RADIUS, FAR = 7, 12
 #: Bits of a table's key.  More bits mean smaller buckets and fewer pairs beyond RADIUS.
 KEPT = 24
-#: Bits of two fingerprints, of 128, in which a pair may differ to have its sets compared: at 0.8 it differs in
-#: 19.4 on average, with a deviation of 4.1; unlike texts that share a bucket differ in 52.
-FAR = 40
 SEED = 42
-#: Nodes whose keys are made at a time.
-CHUNK = 1024
+#: Nodes whose keys are made at a time, and members of a bucket that meet all others at a time.
+CHUNK, BLOCK = 1024, 256
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -54,18 +53,8 @@ def node(own: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
 
 
-def two_fingerprints(own: np.ndarray) -> tuple[int, int]:
-    """SimHash of the hashes, and of the hashes mixed once more."""
-    return _simhash(own), _simhash(_mixed(own))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def _simhash(own: np.ndarray) -> int:
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of the shingles, as a signed long."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(own), 1 << 16):
         part = own[at : at + (1 << 16)]
@@ -105,14 +94,14 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
             found = []
             for t in b.column(2):
                 own = shingles(t.as_py(), size)
-                found.append((node(own), len(own), *two_fingerprints(own)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k] for f in found], pa.int64()) for k in range(4))], ["id", "text_hash", "node", "n", "fp", "fp2"])
+                found.append((node(own), len(own), fingerprint(own)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], ["id", "text_hash", "node", "n", "fp"])
 
-    return rows.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, fp2 long")
+    return rows.mapInArrow(run, "id long, text_hash long, node long, n long, fp long")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node) of all buckets that hold two nodes or more."""
+    """(key, uid) of all buckets that hold two nodes or more."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _places()
@@ -120,7 +109,7 @@ def _members(nodes: DataFrame) -> DataFrame:
             own, fps = b.column(0).to_numpy(), b.column(1).to_numpy()
             for at in range(0, len(own), CHUNK):
                 k = keys(fps[at : at + CHUNK], places)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(own[at : at + CHUNK], k.shape[1]))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(own[at : at + CHUNK], k.shape[1]))], ["key", "uid"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, x, seen = np.zeros(0, np.int32), np.zeros(0, np.int64), False  # the last row, and whether its key was there before
@@ -132,13 +121,77 @@ def _members(nodes: DataFrame) -> DataFrame:
             hit = np.concatenate([[seen], same])
             hit[:-1] |= same
             out = hit[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][out]), pa.array(x[:-1][out])], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][out]), pa.array(x[:-1][out])], ["key", "uid"])
             k, x, seen = k[-1:], x[-1:], bool(hit[-1])
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], ["key", "uid"])
+
+    rows = nodes.where("n > 0").select("uid", "fp").mapInArrow(spread, "key int, uid long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key int, uid long")
+
+
+def _fits(n: np.ndarray, m: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    return np.minimum(n, m) * similarity[1] >= np.maximum(n, m) * similarity[0]
+
+
+def _differing(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it would count the bits of their size
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _with_centre(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b) of every member and the one of its bucket that is in most buckets, if they may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4  # the centre of the last bucket, which may go on
+        for batch in batches:
+            k, x, f, n = own = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if not len(k):
+                continue
+            at = np.arange(len(k))
+            centre = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), at, 0))
+            met = (centre != at) & (_differing(f, f[centre]) <= FAR) & _fits(n, n[centre], similarity)
+            yield _pairs(x[met], x[centre][met])
+            held = [c[centre[-1] : centre[-1] + 1] for c in own]
+
+    rows = members.repartition("key").sortWithinPartitions("key", F.desc("c"), "node").select(F.col("key").cast("long"), "node", "fp", "n")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b) of all pairs within RADIUS bits whose roots differ, each from the first table in which it meets."""
+
+    def bucket(k: np.ndarray, x: np.ndarray, f: np.ndarray, n: np.ndarray, r: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = int(k[0]) >> KEPT & 0xFF
+        for at in range(0, len(x), BLOCK):
+            i = slice(at, at + BLOCK)
+            met = (_differing(f[i, None], f) <= RADIUS) & (r[i, None] != r) & _fits(n[i, None], n, similarity) & (np.arange(len(x))[i, None] < np.arange(len(x)))
+            a, b = np.nonzero(met)
+            for part in range(0, len(a), CHUNK):
+                p, q = a[part : part + CHUNK] + at, b[part : part + CHUNK]
+                first = np.argmax(keys(f[p], places) == keys(f[q], places), axis=1) == own
+                yield _pairs(x[p][first], x[q][first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held = _places(), [np.zeros(0, np.int64)] * 5  # the last bucket, which may go on
+        for batch in batches:
+            own = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cuts = [0, *(np.flatnonzero(np.diff(own[0])) + 1).tolist()]
+            changes = np.concatenate([[0], np.cumsum(np.diff(own[4]) != 0)])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if changes[hi - 1] != changes[lo]:
+                    yield from bucket(*(c[lo:hi] for c in own), places)
+            held = [c[cuts[-1] :] for c in own]
+        if len(held[0]):
+            yield from bucket(*held, places)
+
+    rows = members.repartition("key").sortWithinPartitions("key", "root", "node").select(F.col("key").cast("long"), "node", "fp", "n", "root")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
 
-    rows = nodes.where("n > 0").select("node", "fp").mapInArrow(spread, "key int, node long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key int, node long")
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -152,7 +205,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> D
 
     hashes = table(nodes.join(wanted, "node", "left_semi").select("text_hash"), "similar_hashes")
     own = texts.join(hashes, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
-    out = table(own.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]), "similar_sets")
+    out = table(own.mapInArrow(run, "node long, own array<long>"), "similar_sets")
     discard(hashes)
     return out
 
@@ -165,36 +218,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return both.where(same * (top + bottom) >= (F.size("x") + F.size("y")) * F.lit(top)).select("a", "b")
 
 
-def _possible(similarity: tuple[int, int]) -> Column:
-    """Whether nodes (node, n, fp, fp2, root) and (b, m, fq, fq2, s) of one bucket may be a new link."""
-    top, bottom = similarity
-    fits = F.least("n", "m") * bottom >= F.greatest("n", "m") * F.lit(top)
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("fq2")))
-    return (F.col("root") != F.col("s")) & fits & (apart <= FAR)
-
-
 def _links(nodes: DataFrame, texts: DataFrame, similarity: tuple[int, int], size: int) -> DataFrame:
     """(node, root) of every node that has a similar other one."""
     thin = table(_members(nodes), "similar_buckets")
-    members = table(thin.join(nodes.select("node", "n", "fp", "fp2"), "node"), "similar_members")
-    discard(thin)
-    as_other = ["key", "b", "m", "fq", "fq2", "s"]
+    often = thin.groupBy("uid").agg(F.count(F.lit(1)).alias("c"))
+    facts = table(often.join(nodes.select("uid", "node", "n", "fp"), "uid"), "similar_facts")
+    members = table(thin.join(facts, "uid").drop("uid"), "similar_members")
+    discard(thin, facts)
     edges = roots = None
-    for star in (True, False):
-        if roots is None:
-            now = members.withColumn("root", F.col("node"))
-        else:
-            now = members.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-            now = table(now, "similar_now")
-        if star:
-            pick = F.min_by(F.struct("node", "n", "fp", "fp2", "root"), F.xxhash64("node", "key")).alias("c")
-            other = table(now.groupBy("key").agg(pick).select("key", "c.*").select("key", "node", "n", "fp", "fp2", "root").toDF(*as_other), "similar_centres")
-            met = now.join(other, "key").where(_possible(similarity))
-        else:
-            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            other = table(now.join(table(mixed, "similar_mixed"), "key", "left_semi"), "similar_left").select("key", "node", "n", "fp", "fp2", "root")
-            met = other.join(other.toDF(*as_other), "key").where("node < b").where(_possible(similarity))
-        pairs = table(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "similar_pairs")
+    for propose in (_with_centre, _apart):
+        now = members if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = table(propose(now, similarity), "similar_pairs")
         wanted = table(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "similar_wanted")
         sets = _sets(texts, nodes, wanted, size)
         found = table(_similar(pairs, sets, similarity), "similar_edges")
@@ -208,14 +242,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, fingerprint (16 hex digits of the set's hash), component_id, text_hash; as simhash.near_duplicates.
 
     Texts link whose shingle sets have at least the similarity; pairs whose fingerprints differ in RADIUS bits at most
-    are always compared, others as often as they share a bucket.  Null and blank texts have one empty set and are one
+    are always compared unless linked already, pairs up to FAR bits if one of them is the centre of a bucket that they share.  Null and blank texts have one empty set and are one
     group.  Null ids are members but never name a component unless all its ids are null.  Repeated rows each
     get a row.  Whole texts are read.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     sig = table(_signatures(rows, size), "similar_signatures")
     slim = sig.select("id", "text_hash", "node")
-    nodes = table(sig.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("text_hash").alias("text_hash"), F.min("id").alias("low")), "similar_nodes")
+    nodes = sig.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.min("id").alias("low"))
+    nodes = table(nodes.withColumn("uid", F.monotonically_increasing_id()), "similar_nodes")  # shorter than the hash in the tables' many rows
     roots = _links(nodes, rows.select("text_hash", "text"), similarity, size)
     labelled = table(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "similar_labelled")
     lowest = table(labelled.groupBy("root").agg(F.min("low").alias("component_id")), "similar_components")

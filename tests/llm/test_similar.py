@@ -39,7 +39,7 @@ def test_stage_drops_copies_with_one_word_changed(spark, tmp_path):
 
 
 def bits(text):
-    return similar.two_fingerprints(similar.shingles(text))[0]
+    return similar.fingerprint(similar.shingles(text))
 
 
 def test_links_against_brute_force(spark):
