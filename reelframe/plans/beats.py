@@ -94,12 +94,12 @@ def onset_peaks_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     st AS (SELECT track, min(t) AS s FROM sp GROUP BY track), en AS (SELECT track, max(t) AS e FROM onsets GROUP BY track), sn AS (SELECT track, s, e, period, CAST(greatest(round(period * {HOUR}), 1) AS BIGINT) AS step FROM st JOIN en USING (track) JOIN tm USING (track)),
     gr AS (SELECT track, unnest(generate_series(s, e, step)) AS t, s, step, period FROM sn)
     SELECT track, CAST((t - s) // step AS BIGINT) AS i, t, round(60.0::DOUBLE / period, 6) AS bpm FROM gr
-    UNION ALL SELECT track, row_number() OVER (PARTITION BY track ORDER BY t) - 1, t, NULL FROM sp WHERE track NOT IN (SELECT track FROM tm)""")
+    UNION ALL SELECT track, row_number() OVER (PARTITION BY track ORDER BY t) - 1, t, 0.0::DOUBLE FROM sp WHERE track NOT IN (SELECT track FROM tm)""")
 def beat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks, tempo and grid of every track; an hour stands for a second."""
     o = onsets(spark, sf_dir)
     ends = o.groupBy("track").agg(F.max("t").alias("end"))
-    return ops.beat_grid(o, ends, "track", 6 * HOUR, gaps_s=(0.2, 20.0), unit=HOUR).withColumn("bpm", F.round("bpm", 6))
+    return ops.beat_grid(o, ends, "track", 6 * HOUR, gaps_s=(0.2, 20.0), unit=HOUR).withColumn("bpm", F.coalesce(F.round("bpm", 6), F.lit(0.0)))
 
 
 @query(_ON + """, g AS (SELECT track, (t - lag(t) OVER (PARTITION BY track ORDER BY t, i)) / 3600000.0::DOUBLE AS g FROM onsets)

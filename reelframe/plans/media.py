@@ -67,11 +67,15 @@ def media_usable_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.usable_footage(probes).select("path", F.round("usable_end", 9).alias("usable_end"), F.round("usable_len", 9).alias("usable_len"))
 
 
-@query()
+@query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 10 <> 0 AS ok, p_size % 3 = 0 AS audio, CAST(p_size AS VARCHAR) AS size FROM part)
+    SELECT '/m/' || k || '.mov' AS path, k || '.mov' AS name, k AS stem, 'mov' AS extension, ok, CASE WHEN NOT ok THEN 'other' WHEN audio THEN 'audio' ELSE 'video' END AS kind, CASE WHEN ok THEN CAST(size || '.5' AS DOUBLE) ELSE -1.0::DOUBLE END AS duration_seconds,
+           CASE WHEN ok THEN 'mov' ELSE '' END AS container, CAST(-1 AS BIGINT) AS bit_rate, CASE WHEN ok AND NOT audio THEN 1920 ELSE -1 END AS width, CASE WHEN ok AND NOT audio THEN 1080 ELSE -1 END AS height, CASE WHEN ok AND NOT audio THEN '1920x1080' ELSE '' END AS resolution,
+           CASE WHEN ok AND NOT audio THEN 30000.0::DOUBLE / 1001.0::DOUBLE ELSE -1.0::DOUBLE END AS fps, CASE WHEN ok AND NOT audio THEN 'h264' ELSE '' END AS video_codec, '' AS pix_fmt, CASE WHEN ok AND audio THEN 'aac' ELSE '' END AS audio_codec,
+           CASE WHEN ok AND audio THEN 2 ELSE -1 END AS audio_channels, CASE WHEN ok AND audio THEN 48000 ELSE -1 END AS audio_sample_rate, CASE WHEN ok AND audio THEN 1 ELSE 0 END AS audio_streams, CASE WHEN ok AND NOT audio THEN '01:00:00:00' ELSE '' END AS timecode FROM p""")
 def probe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe documents made from parts, parsed and flattened."""
     size = F.col("p_size").cast("string")
     stream = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"codec_type":"audio","codec_name":"aac","channels":2,"sample_rate":"48000","duration":"'), size, F.lit('"}')))
     stream = stream.otherwise(F.lit('{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"avg_frame_rate":"30000/1001","tags":{"timecode":"01:00:00:00"}}'))
     json = F.when(F.col("p_partkey") % 10 == 0, F.lit("broken")).otherwise(F.concat(F.lit('{"format":{"duration":"'), size, F.lit('.5","format_name":"mov"},"streams":['), stream, F.lit("]}")))
-    return ops.probe(read(spark, sf_dir, "part").select(F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"), F.lit(".mov")).alias("path"), json.alias("json")))
+    return ops.probe(read(spark, sf_dir, "part").select(F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"), F.lit(".mov")).alias("path"), json.alias("json"))).fillna(-1).fillna("")

@@ -81,7 +81,12 @@ def hit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ordered(hits, files, KEY, "rank").select(KEY, "pos", "hit")
 
 
-@query()
+@query(_SQL.split("hits AS (", 1)[0] + r"""each AS (SELECT *, unnest(range(CAST(len(regexp_extract_all(norm, '(?i)\bth[a-z]*ing\b')) AS BIGINT))) AS m FROM words),
+    hits AS (SELECT doc_id, pos, pos AS last, start_ms, end_ms, trim(word) AS text, m FROM each),
+    c AS (SELECT h.*, (SELECT min(w.start_ms) FROM words w WHERE w.doc_id = h.doc_id AND w.start_ms <= h.start_ms AND h.start_ms - w.start_ms <= 1500) AS context_start,
+          (SELECT max(w.end_ms) FROM words w WHERE w.doc_id = h.doc_id AND w.end_ms >= h.end_ms AND w.end_ms - h.end_ms <= 1500) AS context_end FROM hits h),
+    x AS (SELECT c.doc_id, c.pos, c.last, c.start_ms, c.end_ms, c.text, c.m, context_start, context_end, string_agg(trim(w.word), ' ' ORDER BY w.pos) AS context FROM c JOIN words w ON w.doc_id = c.doc_id AND w.start_ms >= context_start AND w.end_ms <= context_end GROUP BY ALL)
+    SELECT * EXCLUDE (m), row_number() OVER (ORDER BY doc_id, start_ms, pos, m) AS hit FROM x""")
 def find_in_footage_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
     return find_in_footage(w, w.select(KEY).distinct(), KEY, PATTERN, "regex").drop(KEY + "_")

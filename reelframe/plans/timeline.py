@@ -125,7 +125,14 @@ def source_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).join(p, "path", "left").select("timeline", "idx", F.coalesce("p_size", F.lit(FPS)).alias("fps"))
 
 
-@query()
+def _snap_sql(c: str) -> str:
+    low, high = f"{c} // 1700 * 1700", f"least({c} // 1700 * 1700 + 1700, hi // 1700 * 1700)"
+    near = f"CASE WHEN {c} - {low} <= abs({high} - {c}) THEN {low} ELSE {high} END"
+    return f"CASE WHEN abs({near} - {c}) <= 300 THEN {near} ELSE {c} END"
+
+
+@query(_C + f""", c AS (SELECT timeline, idx, in_seconds * 1000 AS in_ms, (in_seconds + seconds) * 1000 AS out_ms, max((in_seconds + seconds) * 1000) OVER (PARTITION BY timeline) AS hi FROM clips)
+    SELECT timeline, idx, {_snap_sql('in_ms')} AS in_ms, {_snap_sql('out_ms')} AS out_ms FROM c""")
 def snapped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In and out points snapped to a grid of 1.7 s within 300 ms."""
     c = clips(spark, sf_dir).select("timeline", "idx", (F.col("in_seconds") * 1000).alias("in_ms"), ((F.col("in_seconds") + F.col("seconds")) * 1000).alias("out_ms"))

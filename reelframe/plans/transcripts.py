@@ -99,13 +99,6 @@ def keep_ratio_floor_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_by_transcript(w, files(spark, sf_dir), KEY, 0.8, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES, remove_restarts=False)[2].select(KEY, "below_floor")
 
 
-@query()
-def cut_by_transcript_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With restarts, whose greedy choice SQL can't express; tested against a plain restatement."""
-    w = words(spark, sf_dir)
-    return cut_by_transcript(w, files(spark, sf_dir), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES)[2]
-
-
 @query(f"WITH {WORDS_SQL} SELECT doc_id, pos, word, start_ms, end_ms FROM words")
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).drop("norm")
@@ -153,17 +146,38 @@ _RUNS = ", ".join(f"sum(s{k}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEE
 _BEST = "CASE " + " ".join(f"WHEN r{k} = {k} THEN {k}" for k in range(6, 1, -1)) + " ELSE 0 END"
 
 
+# Greedy from the left: each run leads to the first one after it.
+_RESTARTS = f"WITH RECURSIVE {WORDS_SQL}, same AS (SELECT *, {_LENGTHS} FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), runs AS (SELECT *, {_RUNS} FROM same)," + f"""
+    found AS MATERIALIZED (SELECT doc_id, pos, start_ms, CAST({_BEST} AS BIGINT) AS k FROM runs WHERE {_BEST} > 0),
+    hops AS MATERIALIZED (SELECT f.doc_id, f.pos, min(g.pos) AS n FROM found f LEFT JOIN found g ON g.doc_id = f.doc_id AND g.pos >= f.pos + f.k GROUP BY ALL),
+    taken AS (SELECT doc_id, min(pos) AS pos FROM found GROUP BY doc_id UNION ALL SELECT h.doc_id, h.n FROM taken t JOIN hops h ON h.doc_id = t.doc_id AND h.pos = t.pos WHERE h.n IS NOT NULL),
+    again AS (SELECT f.doc_id, f.pos, f.k AS n, f.start_ms, max(w.start_ms) FILTER (w.pos = f.pos + f.k) AS end_ms, string_agg(w.norm, ' ' ORDER BY w.pos) FILTER (w.pos < f.pos + f.k) AS text
+              FROM taken t JOIN found f USING (doc_id, pos) JOIN words w ON w.doc_id = f.doc_id AND w.pos BETWEEN f.pos AND f.pos + f.k GROUP BY ALL)
+"""
+
+
 @query(f"WITH {WORDS_SQL}, same AS (SELECT *, {_LENGTHS} FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), runs AS (SELECT *, {_RUNS} FROM same) SELECT doc_id, pos, CAST({_BEST} AS BIGINT) AS k FROM runs WHERE {_BEST} > 0")
 def restart_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place where a run of words is repeated at once, before the greedy choice."""
     return ops.restart_lengths(words(spark, sf_dir), KEY).where("k > 0").select(KEY, "pos", F.col("k").cast("long").alias("k"))
 
 
-@query()
+@query(_RESTARTS + "SELECT doc_id, pos, n, start_ms, end_ms, text FROM again")
 def restart_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.restarts(words(spark, sf_dir), KEY)
 
 
+@query((_RESTARTS + "," + _SQL.split("AS norm, start_ms, CAST(start_ms + dur AS BIGINT) AS end_ms FROM placed)", 1)[1].lstrip().removeprefix(",")).replace(
+    "cuts AS (SELECT * FROM wide UNION ALL SELECT * FROM pause)",
+    """agwide AS (SELECT a.doc_id, a.text, 'restart' AS type, CASE WHEN coalesce(f.prev_end, 0) + 80 <= a.start_ms THEN coalesce(f.prev_end, 0) + 80 ELSE a.start_ms END AS start_ms, a.end_ms FROM again a JOIN flags f ON f.doc_id = a.doc_id AND f.pos = a.pos),
+    cuts AS (SELECT * FROM wide UNION ALL SELECT * FROM pause UNION ALL SELECT * FROM agwide)""")
+    + "SELECT doc_id, duration_ms, CAST(cuts AS BIGINT) AS cuts, CAST(removed_ms AS BIGINT) AS removed_ms, CAST(kept_ms AS BIGINT) AS kept_ms, kept_ms / CAST(duration_ms AS DOUBLE) AS keep_ratio, kept_ms / CAST(duration_ms AS DOUBLE) < 0.5::DOUBLE AS below_floor FROM totals")
+def cut_by_transcript_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcript cutter with restarts."""
+    w = words(spark, sf_dir)
+    return cut_by_transcript(w, files(spark, sf_dir), KEY, fillers=FILLERS, guarded=GUARDED, phrases=PHRASES)[2]
+
+
 @query(_SQL + "SELECT doc_id, start_ms, end_ms, n_reasons, reasons FROM merged")
 def cut_reasons_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = ops.merged_cuts(_raw(spark, sf_dir)[2], KEY)
