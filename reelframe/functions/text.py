@@ -12,9 +12,18 @@ CLAUSE_END = r"[,;:][\"')\]]?\s*$"
 PLAIN_SENTENCE_END = r"[.!?]\s*$"
 
 
+#: ASCII characters that words lose at their edges.
+_EDGES = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() or chr(c) in "_'"))
+
+
 def norm(word: Column) -> Column:
-    """Lower case, without edge characters that are no letter, digit, underscore or apostrophe."""
-    return F.regexp_replace(F.lower(F.trim(word)), r"^[^\p{L}\p{N}_']+|[^\p{L}\p{N}_']+$", "")
+    """Lower case, without edge characters that are no letter, digit, underscore or apostrophe.
+
+    Once the ASCII ones are trimmed, only words with other characters need the regular expression.
+    """
+    low = F.btrim(F.lower(word), F.lit(_EDGES))
+    rest = F.regexp_extract(low, r"(?s)[\p{L}\p{N}_'](?:.*[\p{L}\p{N}_'])?", 0)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(rest)
 
 
 def tokens(text: Column) -> Column:

@@ -77,16 +77,19 @@ def containing(points: DataFrame, grid: DataFrame, keys: Sequence[str], t: str =
     return swept.select(*cols, *(F.col(f"held_.{c}").alias(f"in_{c}") for c in carry))
 
 
-def points_in(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: str, start: str, end: str) -> DataFrame:
-    """Every (span, point) with start <= point < end: an equi-join by key with the range as a residual."""
-    p = points.alias("p")
-    s = spans.alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+def points_in(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: str, start: str, end: str, width: int = 1 << 12) -> DataFrame:
+    """Every (span, point) with start <= point < end.
+
+    Both sides carry the stretch of time (of `width`) as an equi key, so a long key's points meet only the spans near them.
+    """
+    p = points.withColumn("slot_", F.floor(F.col(t) / F.lit(width))).alias("p")
+    reach = F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor((F.col(end) - 1) / F.lit(width)))
+    s = spans.where(F.col(end) > F.col(start)).withColumn("slot_", F.explode(reach)).alias("s")
+    cond = F.col("p.slot_") == F.col("s.slot_")
+    for k in keys:
+        cond = cond & (F.col(f"p.{k}") == F.col(f"s.{k}"))
     cond = cond & (F.col(f"p.{t}") >= F.col(f"s.{start}")) & (F.col(f"p.{t}") < F.col(f"s.{end}"))
-    return s.join(p, cond).select("s.*", *(F.col(f"p.{c}") for c in points.columns if c not in keys))
+    return s.join(p, cond).select(*(F.col(f"s.{c}") for c in spans.columns), *(F.col(f"p.{c}") for c in points.columns if c not in keys))
 
 
 def spaced(times: Column, least: int, first: Column | None = None) -> Column:

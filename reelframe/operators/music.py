@@ -77,18 +77,23 @@ def ranked(splices: DataFrame, key: str, n: int = CANDIDATES, score: str = "rank
 
 def two_splices(marked: DataFrame, key: str, distance: float, bar: float) -> DataFrame:
     """The first feasible pair of disjoint splices that remove `distance` together, give or take a bar; first goes by score."""
-    b = marked.select(key, "i", "k", F.col("t").cast("double").alias("t"), "before", "after")
     cols = F.struct("i", "k", "t", "before", "after")
-    pairs = b.select(key, cols.alias("a")).join(b.select(key, cols.alias("b")), key).withColumn("removed", F.col("b.t") - F.col("a.t"))
+    b = marked.select(key, "i", "k", F.col("t").cast("double").alias("t"), "before", "after").withColumn("slot_", F.floor(F.col("t") / F.lit(float(distance))))
+    # A splice is shorter than the distance, so its end lies in its start's stretch of that length or the next.
+    right = b.select(key, cols.alias("b"), F.explode(F.array(F.col("slot_") - 1, F.col("slot_"))).alias("slot_"))
+    pairs = b.select(key, "slot_", cols.alias("a")).join(right, [key, "slot_"]).withColumn("removed", F.col("b.t") - F.col("a.t"))
     pairs = pairs.where((F.col("removed") > 0.5 * bar) & (F.col("removed") < distance - 0.5 * bar))
     sim = pair_score(F.col("a.before"), F.col("a.after"), F.col("b.before"), F.col("b.after"))
     rows = pairs.select(key, F.col("a.k").alias("ka"), F.col("b.k").alias("kb"), F.col("a.i").alias("a"), F.col("b.i").alias("b"), "removed", sim.alias("similarity"))
     lift = F.when(phrase_bonus(F.col("ka"), F.col("kb")) > 0, 0.05).otherwise(0.0)
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy((F.col("similarity") + lift).desc(), "ka", "kb")))
-    one, two = rows.alias("x"), rows.alias("y")
+    # What the second splice must remove, give or take a bar, is known: both carry it as a bucket.
+    own, wanted = F.floor(F.col("removed") / (2 * bar)), F.floor((F.lit(distance) - F.col("removed")) / (2 * bar))
+    one = rows.withColumn("need_", F.explode(F.array(wanted - 1, wanted, wanted + 1))).alias("x")
+    two = rows.withColumn("need_", own).alias("y")
     apart = (F.col("y.b") <= F.col("x.a")) | (F.col("y.a") >= F.col("x.b"))
     fits = F.abs(F.col("y.removed") - (F.lit(distance) - F.col("x.removed"))) <= bar
-    both = one.join(two, (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & fits)
+    both = one.join(two, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.need_") == F.col("y.need_")) & apart & fits)
     first = both.groupBy(F.col(f"x.{key}").alias(key)).agg(F.min(F.struct(F.col("x.place").alias("p"), F.col("y.place").alias("q"), F.struct("x.a", "x.b", "x.removed").alias("one"), F.struct("y.a", "y.b", "y.removed").alias("two"))).alias("m"))
     low, high = F.least("m.one", "m.two"), F.greatest("m.one", "m.two")
     return first.select(key, low["a"].alias("a1"), low["b"].alias("b1"), high["a"].alias("a2"), high["b"].alias("b2"), (low["removed"] + high["removed"]).alias("removed"))

@@ -7,7 +7,9 @@ shuffle.  Only the regular expression needs Python, for its engine, in one Arrow
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,17 +52,17 @@ def regex(words: DataFrame, key: str, pattern: str) -> DataFrame:
         for batch in batches:
             out = []
             for name, ws in zip(batch[key], batch["ws"], strict=True):
-                said = [w for w in ws if w["norm"]]
-                ends, at = [], 0
-                for w in said:
-                    ends.append((at, at + len(w["norm"])))
-                    at += len(w["norm"]) + 1
-                for m in compiled.finditer(" ".join(w["norm"] for w in said)):
-                    hit = [i for i, (a, b) in enumerate(ends) if a < m.end() and b > m.start()]
-                    if hit:
-                        a, b = said[hit[0]], said[hit[-1]]
-                        inner = [w["word"].strip() for w in ws if a["pos"] <= w["pos"] <= b["pos"]]
-                        out.append((name, a["pos"], b["pos"], a["start_ms"], b["end_ms"], " ".join(inner)))
+                place = [k for k, w in enumerate(ws) if w["norm"]]
+                said = [ws[k]["norm"] for k in place]
+                starts = [0, *accumulate(len(w) + 1 for w in said)][:-1]
+                ends = [at + len(w) for at, w in zip(starts, said, strict=True)]
+                for m in compiled.finditer(" ".join(said)):
+                    # The words that a match touches: from the first that ends behind its start to the last that starts before its end.
+                    first, last = bisect_right(ends, m.start()), bisect_left(starts, m.end()) - 1
+                    if first <= last:
+                        a, b = place[first], place[last]
+                        inner = [w["word"].strip() for w in ws[a : b + 1]]
+                        out.append((name, ws[a]["pos"], ws[b]["pos"], ws[a]["start_ms"], ws[b]["end_ms"], " ".join(inner)))
             yield pd.DataFrame(out, columns=[key, "pos", "last", "start_ms", "end_ms", "text"])
 
     kind = dict(words.dtypes)[key]
@@ -71,19 +73,23 @@ def regex(words: DataFrame, key: str, pattern: str) -> DataFrame:
 def with_context(hits: DataFrame, words: DataFrame, key: str, context_ms: int = 1500) -> DataFrame:
     """hits with context, context_start, context_end: the words around that start or end within context_ms.
 
-    Two range windows, one over starts and one over ends, give each word its reach; word times rise within a file.
+    Hits meet the words of the stretches of time that they reach into, so only words near a hit are looked at.
     """
-    words = words.join(hits.select(key).distinct(), key, "left_semi")  # only files with a hit are swept
-    back = W.partitionBy(key).orderBy("start_ms").rangeBetween(-context_ms, 0)
-    ahead = W.partitionBy(key).orderBy("end_ms").rangeBetween(0, context_ms)
-    reach = words.select(
-        key, "pos", F.min("start_ms").over(back).alias("context_start"), F.max("end_ms").over(ahead).alias("context_end"),
-        F.collect_list(F.struct("pos", F.trim("word").alias("w"))).over(back).alias("b"), F.collect_list(F.struct("pos", F.trim("word").alias("w"))).over(ahead).alias("a"),
+    width = max(1, context_ms)
+    slot = lambda t: F.floor(t / F.lit(width))
+    spans = hits.select(key, "pos", "last", F.col("start_ms").alias("from_"), F.col("end_ms").alias("to_")).distinct()
+    reach = spans.withColumn("slot_", F.explode(F.sequence(slot(F.col("from_") - context_ms), slot(F.col("to_") + context_ms))))
+    said = words.select(key, F.col("pos").alias("at_"), F.trim("word").alias("w"), "start_ms", "end_ms", slot(F.col("start_ms")).alias("slot_"))
+    back = (F.col("start_ms") <= F.col("from_")) & (F.col("from_") - F.col("start_ms") <= context_ms)
+    ahead = (F.col("end_ms") >= F.col("to_")) & (F.col("end_ms") - F.col("to_") <= context_ms)
+    near = said.join(reach, [key, "slot_"]).withColumns({"back_": back, "ahead_": ahead}).where("back_ or ahead_")
+    item = F.struct("at_", "w")
+    rows = near.groupBy(key, "pos", "last").agg(
+        F.min(F.when(F.col("back_"), F.col("start_ms"))).alias("context_start"), F.max(F.when(F.col("ahead_"), F.col("end_ms"))).alias("context_end"),
+        F.collect_list(F.when(F.col("back_") & (F.col("at_") < F.col("pos")), item)).alias("b"), F.collect_list(F.when(F.col("ahead_") & (F.col("at_") > F.col("last")), item)).alias("a"),
     )
     join = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["w"]), " ")
-    first = reach.select(key, "pos", "context_start", F.filter("b", lambda s: s["pos"] < F.col("pos")).alias("b"))
-    last = reach.select(key, F.col("pos").alias("last"), "context_end", F.filter("a", lambda s: s["pos"] > F.col("last")).alias("a"))
-    rows = hits.join(first, [key, "pos"]).join(last, [key, "last"])
+    rows = hits.join(rows, [key, "pos", "last"])
     text = F.trim(F.concat_ws(" ", F.when(F.size("b") > 0, join(F.col("b"))), F.col("text"), F.when(F.size("a") > 0, join(F.col("a")))))
     return rows.select(*hits.columns, text.alias("context"), "context_start", "context_end")
 
