@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.signal import cosine
+from ..functions.signal import cosine, crossfade_seconds
 
 # Context beats, candidates kept, penalty and window of a button ending, audible seam.
-CONTEXT, CANDIDATES, AUDIBLE = 4, 4, 1.25
+CONTEXT, CANDIDATES, AUDIBLE, SIMILAR = 4, 4, 1.25, 0.70
 BUTTON_PENALTY, BUTTON_BEFORE, BUTTON_AFTER = 0.15, 2.0, 0.5
 HOLD_S, MAX_TAIL_S, TAIL_FADE_S = 0.05, 2.0, 1.8
 
@@ -94,9 +94,9 @@ def two_splices(marked: DataFrame, key: str, distance: float, bar: float) -> Dat
     apart = (F.col("y.b") <= F.col("x.a")) | (F.col("y.a") >= F.col("x.b"))
     fits = F.abs(F.col("y.removed") - (F.lit(distance) - F.col("x.removed"))) <= bar
     both = one.join(two, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.need_") == F.col("y.need_")) & apart & fits)
-    first = both.groupBy(F.col(f"x.{key}").alias(key)).agg(F.min(F.struct(F.col("x.place").alias("p"), F.col("y.place").alias("q"), F.struct("x.a", "x.b", "x.removed").alias("one"), F.struct("y.a", "y.b", "y.removed").alias("two"))).alias("m"))
+    first = both.groupBy(F.col(f"x.{key}").alias(key)).agg(F.min(F.struct(F.col("x.place").alias("p"), F.col("y.place").alias("q"), F.struct("x.a", "x.b", "x.removed", "x.similarity").alias("one"), F.struct("y.a", "y.b", "y.removed", "y.similarity").alias("two"))).alias("m"))
     low, high = F.least("m.one", "m.two"), F.greatest("m.one", "m.two")
-    return first.select(key, low["a"].alias("a1"), low["b"].alias("b1"), high["a"].alias("a2"), high["b"].alias("b2"), (low["removed"] + high["removed"]).alias("removed"))
+    return first.select(key, low["a"].alias("a1"), low["b"].alias("b1"), high["a"].alias("a2"), high["b"].alias("b2"), (low["removed"] + high["removed"]).alias("removed"), low["similarity"].alias("similarity1"), high["similarity"].alias("similarity2"))
 
 
 def button(beats: DataFrame, key: str, target: float, phase: Column | int = 0) -> DataFrame:
@@ -158,3 +158,46 @@ def first_quiet(candidates: DataFrame, key: str) -> DataFrame:
     quiet = F.col("worst") <= AUDIBLE
     order = F.struct((~quiet).alias("loud"), F.when(quiet, F.lit(0.0)).otherwise(F.col("worst")).alias("w"), "try")
     return candidates.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col("m.try").alias("try"), (~F.col("m.loud")).alias("accepted"))
+
+
+def plan_quality(splices: DataFrame, key: str) -> DataFrame:
+    """key, splices, aligned (all of them are), weakest (the least similarity), removed of the splices of a cut."""
+    return splices.groupBy(key).agg(F.count(F.lit(1)).alias("splices"), F.bool_and("phrase_aligned").alias("aligned"), F.min("similarity").alias("weakest"), F.sum("removed").alias("removed"))
+
+
+def cut_plan(feats: DataFrame, key: str, removed: float, target: float, bar: float, beat: float, floor: float = SIMILAR) -> DataFrame:
+    """key, strategy, splices, aligned, weakest, removed, out_s, fade_s: how each song is cut by `removed` seconds.
+
+    feats: key, i, t, feat, strength, a row a beat.  The best splice does if it is similar enough, else the first pair
+    of splices that both are; else the song ends with a button near the target.  Splices overlap by a
+    crossfade that grows as they match less.
+    """
+    marked = bars(windows(feats, key), key)
+    single = single_splices(marked, key, removed, bar).withColumn("rank_score", F.round("rank_score", 9))
+    one = ranked(single, key, 1).select(key, "ka", "kb", "removed", "similarity", "phrase_aligned").where(F.col("similarity") >= floor)
+    both = two_splices(marked, key, removed, bar).where(F.least("similarity1", "similarity2") >= floor).join(one.select(key), key, "left_anti")
+    pieces = F.explode(F.array(*(F.struct(F.col(f"a{n}").alias("a"), F.col(f"b{n}").alias("b"), F.col(f"similarity{n}").alias("similarity")) for n in (1, 2)))).alias("s")
+    number = marked.select(key, "i", "k", F.col("t").cast("double").alias("t"))
+    two = both.select(key, pieces).select(key, "s.*")
+    for end in ("a", "b"):
+        two = two.join(number.select(key, F.col("i").alias(end), F.col("k").alias("k" + end), F.col("t").alias("t" + end)), [key, end])
+    two = two.select(key, "ka", "kb", (F.col("tb") - F.col("ta")).alias("removed"), "similarity", (phrase_bonus(F.col("ka"), F.col("kb")) > 0).alias("phrase_aligned"))
+    splices = one.unionByName(two).withColumn("xfade", crossfade_seconds(F.col("similarity"), F.lit(beat)))
+    lost = splices.groupBy(key).agg(F.sum(F.col("removed") + F.col("xfade")).alias("lost_"))
+    songs = feats.groupBy(key).agg((F.max("t") + beat).alias("duration"))
+    rows = songs.join(plan_quality(splices, key), key, "left").join(lost, key, "left").join(endings(button(feats, key, target).join(songs, key), "button", bar, F.col("duration")).select(key, "out_s", "fade_s"), key)
+    cut = F.col("splices").isNotNull()
+    return rows.select(
+        key, F.when(cut, "seamless").otherwise("button").alias("strategy"), F.coalesce("splices", F.lit(0)).cast("long").alias("splices"), F.coalesce("aligned", F.lit(False)).alias("aligned"), F.coalesce("weakest", F.lit(0.0)).alias("weakest"),
+        F.coalesce("removed", F.lit(0.0)).alias("removed"), F.when(cut, F.col("duration") - F.col("lost_")).otherwise(F.col("out_s")).alias("out_s"), F.when(cut, F.lit(0.0)).otherwise(F.col("fade_s")).alias("fade_s"),
+    )
+
+
+def retried(candidates: DataFrame, flux: DataFrame, key: str, window: float) -> DataFrame:
+    """Of ranked candidates (key, place, seams: times) the first whose worst seam isn't audible, else the least bad: key, try, accepted, worst."""
+    named = candidates.withColumn("id_", F.concat_ws("#", key, "place"))
+    own = flux.join(named.select(key, "id_"), key).select("id_", "t", "flux")
+    seams = named.select("id_", F.explode("seams").alias("seam")).distinct()
+    worst = seam_ratios(own, seams, "id_", window).groupBy("id_").agg(F.max("ratio").alias("worst"))
+    tried = named.join(worst, "id_").select(key, F.col("place").alias("try"), "worst")
+    return first_quiet(tried, key).join(tried, [key, "try"])
