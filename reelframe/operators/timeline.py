@@ -67,6 +67,26 @@ def snap(rows: DataFrame, grid: DataFrame, keys: Sequence[str], fields: Sequence
     return rows
 
 
+def assemble(clips: DataFrame, probes: DataFrame, grid: DataFrame | None = None, tolerance_ms: int = 50, keys: Sequence[str] = ("timeline",)) -> tuple[DataFrame, DataFrame]:
+    """(clips that can be used, totals): clips checked, their options cleaned, their points snapped to a grid (keys, t).
+
+    totals: keys, ok (no error), video and audio (clips), errors, warnings, snapped (points), video_ms, audio_ms.
+    """
+    checked = options(validate(clips, probes))
+    rows = checked.withColumns({"from_": F.col("in_ms"), "to_": F.col("out_ms")})
+    rows = rows if grid is None else snap(rows, grid, keys, ["in_ms", "out_ms"], tolerance_ms)
+    good = F.size("errors") == 0
+    of = lambda kind: good & (F.col("kind") == kind)
+    length = F.col("out_ms") - F.col("in_ms")
+    moved = (F.col("in_ms") != F.col("from_")).cast("long") + (F.col("out_ms") != F.col("to_")).cast("long")
+    total = lambda which, x: F.coalesce(F.sum(F.when(which, x)), F.lit(0)).cast("long")
+    totals = rows.groupBy(*keys).agg(
+        F.bool_and(good).alias("ok"), F.count_if(of("video")).alias("video"), F.count_if(of("audio")).alias("audio"), F.sum(F.size("errors")).cast("long").alias("errors"), F.sum(F.size("warnings")).cast("long").alias("warnings"),
+        total(good, moved).alias("snapped"), total(of("video"), length).alias("video_ms"), total(of("audio"), length).alias("audio_ms"),
+    )
+    return usable(rows).drop("from_", "to_"), totals
+
+
 def normalise(clips: DataFrame, fps: int, default_s: float = 5.0) -> DataFrame:
     """Interchange clips in frames: clips (timeline, idx, path, kind, in_ms, out_ms, duration_ms, record_ms, ...).
 

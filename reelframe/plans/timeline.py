@@ -140,8 +140,61 @@ def snapped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.snap(c, grid, ["timeline"], ["in_ms", "out_ms"], 300)
 
 
-@query()
+_MARK = """'<marker start="' || (src_in + m.frame - c."offset") || '/24s" duration="1/24s" value="' || m.name || '" note="" />' || chr(10)"""
+_CLIP = """'<asset-clip name="part ' || path || '" ref="' || asset || '" offset="' || {0} || '/24s" start="' || src_in || '/24s" duration="' || duration || '/24s"'"""
+
+
+@query(_TILED + f""", {MARKERS_SQL}, us AS (SELECT timeline, path, min(idx) AS fi FROM tiled GROUP BY ALL), av AS (SELECT *, 'r' || (row_number() OVER (PARTITION BY timeline ORDER BY fi) + 1) AS asset FROM us),
+    fv AS (SELECT timeline, min(idx) FILTER (kind = 'video') AS vi, min(struct_pack(i := idx, o := "offset")) FILTER (kind = 'video').o AS vo, max("offset" + duration) AS total FROM tiled GROUP BY timeline),
+    c AS (SELECT t.*, asset, vi, vo, total, kind = 'audio' AND vi IS NOT NULL AS hangs FROM tiled t JOIN av USING (timeline, path) JOIN fv USING (timeline)),
+    hd AS (SELECT c.timeline, c.idx, string_agg('              ' || {_MARK}, '' ORDER BY m.frame, m.name) AS own, string_agg('                ' || {_MARK}, '' ORDER BY m.frame, m.name) AS deep FROM c JOIN markers m ON m.timeline = c.timeline AND m.frame >= c."offset" AND m.frame < c."offset" + c.duration GROUP BY ALL),
+    e AS (SELECT c.*, coalesce(own, '') AS own, coalesce(deep, '') AS deep FROM c LEFT JOIN hd USING (timeline, idx)),
+    bl AS (SELECT timeline, string_agg('              ' || {_CLIP.format('greatest(0, "offset" - vo)')} || ' audioRole="dialogue" lane="-1"' || CASE WHEN deep = '' THEN ' />' || chr(10) ELSE '>' || chr(10) || deep || '              </asset-clip>' || chr(10) END, '' ORDER BY idx) AS below FROM e WHERE hangs GROUP BY timeline),
+    sb AS (SELECT e.*, own || CASE WHEN idx = vi THEN coalesce(below, '') ELSE '' END AS body FROM e LEFT JOIN bl USING (timeline) WHERE NOT hangs),
+    sp AS (SELECT timeline, string_agg('            ' || {_CLIP.format('"offset"')} || CASE WHEN kind = 'audio' THEN ' audioRole="music"' ELSE '' END || CASE WHEN body = '' THEN ' />' || chr(10) ELSE '>' || chr(10) || body || '            </asset-clip>' || chr(10) END, '' ORDER BY idx) AS spine FROM sb GROUP BY timeline),
+    sa AS (SELECT timeline, string_agg('    <asset id="' || asset || '" name="' || path || '" src="file:///media/' || path || '.mov" start="0s" hasVideo="' || CASE WHEN kind = 'video' THEN '1" format="r1' ELSE '0' END || '" hasAudio="1" audioSources="1" audioChannels="2" audioRate="48000" />' || chr(10), '' ORDER BY fi) AS assets
+           FROM av JOIN (SELECT timeline, idx AS fi, kind FROM tiled) k USING (timeline, fi) GROUP BY timeline)
+    SELECT timeline, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<!DOCTYPE fcpxml>' || chr(10) || chr(10) || '<fcpxml version="1.9">' || chr(10) || '  <resources>' || chr(10)
+      || '    <format id="r1" name="FFVideoFormat1080p24" frameDuration="1/24s" width="1920" height="1080" colorSpace="1-1-1 (Rec. 709)" />' || chr(10) || assets || '  </resources>' || chr(10) || '  <library>' || chr(10)
+      || '    <event name="Timeline ' || timeline || '">' || chr(10) || '      <project name="Timeline ' || timeline || '">' || chr(10) || '        <sequence format="r1" duration="' || total || '/24s" tcStart="0s" tcFormat="NDF">' || chr(10)
+      || '          <spine>' || chr(10) || spine || '          </spine>' || chr(10) || '        </sequence>' || chr(10) || '      </project>' || chr(10) || '    </event>' || chr(10) || '  </library>' || chr(10) || '</fcpxml>' || chr(10) AS content
+    FROM fv JOIN sa USING (timeline) JOIN sp USING (timeline)""")
 def fcpxml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each timeline, rendered where the rows are."""
+    """One document for each timeline."""
     tiled = _tiled(spark, sf_dir).withColumn("path", F.concat(F.lit("/media/"), F.col("path").cast("string"), F.lit(".mov")))
     return interchange.fcpxml(tiled, markers(spark, sf_dir), FPS)
+
+
+@query(_C + """, p AS (SELECT CAST(p_partkey AS BIGINT) AS path, p_partkey % 11 <> 0 AS ok, CASE p_size % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' WHEN 2 THEN 'image' ELSE 'other' END AS pk, CAST(p_size * 1000 AS BIGINT) AS ms FROM part),
+    j AS (SELECT timeline, idx, kind, ok, pk, ms, (in_seconds - 2) * 1000 AS a, coalesce(CASE WHEN idx % 5 <> 0 THEN seconds * 1000 END, ms, (in_seconds - 2) * 1000) AS b FROM clips LEFT JOIN p USING (path)),
+    v AS (SELECT *, NOT coalesce(ok, false) OR a < 0 OR (b <= a AND pk <> 'image') AS bad, coalesce(ok, false) AND ((kind = 'video' AND pk NOT IN ('video', 'image')) OR (kind = 'audio' AND pk NOT IN ('audio', 'video'))) AS odd, coalesce(ok AND b - ms > 50, false) AS over FROM j),
+    sn AS (SELECT *, a // 1700 * 1700 AS al, a // 1700 * 1700 + 1700 AS ah, b // 1700 * 1700 AS bl, b // 1700 * 1700 + 1700 AS bh FROM v),
+    s2 AS (SELECT *, CASE WHEN a - al <= ah - a THEN al ELSE ah END AS an, CASE WHEN b - bl <= bh - b THEN bl ELSE bh END AS bn FROM sn),
+    s3 AS (SELECT *, CASE WHEN abs(an - a) <= 300 THEN an ELSE a END AS a2, CASE WHEN abs(bn - b) <= 300 THEN bn ELSE b END AS b2 FROM s2)
+    SELECT timeline, count(*) FILTER (bad) = 0 AS ok, count(*) FILTER (NOT bad AND kind = 'video') AS video, count(*) FILTER (NOT bad AND kind = 'audio') AS audio, CAST(sum(CAST(bad AND coalesce(ok, false) AS INTEGER) * (CAST(a < 0 AS INTEGER) + CAST(b <= a AND pk <> 'image' AS INTEGER)) + CAST(NOT coalesce(ok, false) AS INTEGER)) AS BIGINT) AS errors,
+      CAST(sum(CAST(odd AS INTEGER) + CAST(over AS INTEGER)) AS BIGINT) AS warnings, CAST(coalesce(sum(CAST(a2 <> a AS INTEGER) + CAST(b2 <> b AS INTEGER)) FILTER (NOT bad), 0) AS BIGINT) AS snapped,
+      CAST(coalesce(sum(b2 - a2) FILTER (NOT bad AND kind = 'video'), 0) AS BIGINT) AS video_ms, CAST(coalesce(sum(b2 - a2) FILTER (NOT bad AND kind = 'audio'), 0) AS BIGINT) AS audio_ms FROM s3 GROUP BY timeline""")
+def assemble_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit plans checked, snapped to a grid of 1.7 s and summed up: one row a timeline."""
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "video").when(size % 4 == 1, "audio").when(size % 4 == 2, "image").otherwise("other")
+    probes = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("path"), (F.col("p_partkey") % 11 != 0).alias("ok"), kind.alias("kind"), (size * 1000).cast("long").alias("duration_ms"))
+    c = clips(spark, sf_dir).withColumns({"in_ms": (F.col("in_seconds") - 2) * 1000, "out_ms": F.when(F.col("idx") % 5 != 0, F.col("seconds") * 1000)})
+    reach = F.greatest(F.max("in_ms"), F.max("out_ms"), F.lit(60_000)) + 3400
+    grid = c.groupBy("timeline").agg(reach.alias("hi")).select("timeline", F.explode(F.sequence(F.lit(-1700).cast("long"), F.col("hi"), F.lit(1700).cast("long"))).alias("t"))
+    return ops.assemble(c, probes, grid, 300)[1]
+
+
+@query(_C + """, c AS (SELECT timeline, idx, kind, CASE WHEN idx % 2 = 0 THEN 1.5::DOUBLE END AS speed, CASE WHEN idx % 3 = 0 THEN -6.0::DOUBLE END AS gain_db FROM clips)
+    SELECT timeline, idx, coalesce(CASE WHEN kind = 'video' THEN speed END, -1.0::DOUBLE) AS speed, coalesce(CASE WHEN kind = 'audio' THEN gain_db END, -1.0::DOUBLE) AS gain_db FROM c""")
+def clip_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clips(spark, sf_dir).withColumns({"speed": F.when(F.col("idx") % 2 == 0, 1.5), "gain_db": F.when(F.col("idx") % 3 == 0, -6.0)})
+    return ops.options(c).select("timeline", "idx", "speed", "gain_db").fillna(-1.0, ["speed", "gain_db"])
+
+
+@query(f"WITH {MARKERS_SQL}" + """, m AS (SELECT timeline, pos, CASE WHEN pos % 3 <> 0 THEN frame * 40 END AS time_ms, CASE WHEN pos % 2 = 0 THEN name END AS name, CASE WHEN pos % 5 = 0 THEN 'Red' END AS color FROM markers)
+    SELECT timeline, time_ms, coalesce(name, 'Marker ' || (pos + 1)) AS name, coalesce(color, 'Blue') AS color, '' AS note FROM m WHERE time_ms IS NOT NULL""")
+def marker_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = markers(spark, sf_dir)
+    m = m.select("timeline", "pos", F.when(F.col("pos") % 3 != 0, F.col("frame") * 40).alias("time_ms"), F.when(F.col("pos") % 2 == 0, F.col("name")).alias("name"), F.when(F.col("pos") % 5 == 0, "Red").alias("color"), F.lit(None).cast("string").alias("note"))
+    return ops.normal_markers(m).select("timeline", "time_ms", "name", "color", "note")
