@@ -74,6 +74,15 @@ def beat_snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track", "i", "t", F.coalesce("nearest", "t").alias("snapped"), F.col("nearest").isNotNull().alias("did"))
 
 
+@query(_BOTH + """, two AS (SELECT b.track, b.i, b.t, (SELECT max(o.t) FROM onsets o WHERE o.track = b.track AND o.t <= b.t) AS back, (SELECT min(o.t) FROM onsets o WHERE o.track = b.track AND o.t >= b.t) AS ahead FROM beats b),
+    best AS (SELECT *, CASE WHEN back IS NOT NULL AND (ahead IS NULL OR t - back <= ahead - t) THEN back ELSE ahead END AS n FROM two)
+    SELECT track, i, CASE WHEN abs(n - t) <= 108000 THEN n ELSE -1 END AS onset FROM best""")
+def beat_onset_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The onset within 30 ms of each beat, an hour standing for a second; -1 without one."""
+    found = intervals.nearest(beats(spark, sf_dir), onsets(spark, sf_dir).select("track", "t"), ["track"], "t", tolerance=30 * HOUR // 1000)
+    return found.select("track", "i", F.coalesce("nearest", F.lit(-1)).alias("onset"))
+
+
 @query(_ON + """, p AS (SELECT *, lag(strength) OVER w AS b, lead(strength) OVER w AS a, avg(strength) OVER (PARTITION BY track) + 0.5::DOUBLE * stddev_pop(strength) OVER (PARTITION BY track) AS l FROM onsets WINDOW w AS (PARTITION BY track ORDER BY t, i))
     SELECT track, i, t FROM p WHERE strength >= l AND strength >= b AND strength >= a""")
 def onset_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..operators import grading as ops
+from ..sinks import interchange
 from ..sources.views import FRAME_SIDE, FRAMES_SQL, PIXELS_SQL, frames, pixels, read
 from .registry import query
 
@@ -320,3 +321,9 @@ def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH a AS (SELECT c_custkey // 4 AS clip, c_custkey % 4 AS try, c_nationkey % 3 AS n FROM customer), m AS (SELECT clip, min(n) AS n FROM a GROUP BY clip) SELECT count(*) FILTER (n = 0) AS graded, count(*) FILTER (n > 0) AS needs_human FROM m")
 def grade_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.tally(best_attempt(spark, sf_dir))
+
+
+@query(f"SELECT pos, printf('%.6f %.6f %.6f', r, g, b) AS line FROM ({_GRID}) UNION ALL SELECT * FROM (VALUES (-4, 'TITLE \"grid\"'), (-3, 'LUT_3D_SIZE 65'), (-2, 'DOMAIN_MIN 0.0 0.0 0.0'), (-1, 'DOMAIN_MAX 1.0 1.0 1.0')) AS h(pos, line)")
+def cube_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an identity LUT file."""
+    return interchange.cube(ops.lut_grid(spark), "grid", ops.LUT_SIZE)

@@ -87,14 +87,14 @@ def xfade_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {ONSETS_SQL}" + """, f AS (SELECT track, t / 1000.0::DOUBLE AS t, greatest(strength - coalesce(lag(strength) OVER (PARTITION BY track ORDER BY t, i), strength), 0.0::DOUBLE) AS flux FROM onsets),
-    seams AS (SELECT DISTINCT track, t / 1000.0::DOUBLE AS seam FROM onsets WHERE i % 10 = 5),
+    seams AS (SELECT DISTINCT track, t / 1000.0::DOUBLE AS seam FROM onsets WHERE kind = 'error'),
     hit AS (SELECT f.track, f.t, s.seam, f.flux FROM f JOIN seams s ON f.track = s.track AND abs(f.t - s.seam) <= 3600.0),
     p AS (SELECT track, quantile_cont(flux, 0.9) AS p90 FROM f WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.track = f.track AND h.t = f.t) GROUP BY track),
     top AS (SELECT track, seam, max(flux) AS top FROM hit GROUP BY ALL)
     SELECT track, seam, round(CASE WHEN p90 > 1e-9 THEN top / p90 ELSE 0.0::DOUBLE END, 6) AS ratio FROM top LEFT JOIN p USING (track)""")
 def seam_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = beat_ops.flux(onsets(spark, sf_dir), "track", order=("i",)).withColumn("t", F.col("t") / F.lit(1000.0))
-    seams = o.where("i % 10 = 5").select("track", F.col("t").alias("seam")).distinct()
+    seams = o.where("kind = 'error'").select("track", F.col("t").alias("seam")).distinct()
     return ops.seam_ratios(o.select("track", "t", "flux"), seams, "track", 3600.0).select("track", "seam", F.round("ratio", 6).alias("ratio"))
 
 

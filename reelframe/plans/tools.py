@@ -68,13 +68,13 @@ def bin_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk(f)
 
 
-@query("""WITH m AS (SELECT o_orderkey AS frame, o_orderpriority AS name, 'Blue' AS color FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT o_orderkey AS frame, CASE WHEN o_orderkey % 2 = 0 THEN 'changed' END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'Red' END AS color FROM orders WHERE o_orderkey % 4 = 0)
-    SELECT m.frame, coalesce(c.name, m.name) AS name, coalesce(c.color, m.color) AS color, '' AS note, CAST(1 AS BIGINT) AS duration FROM m LEFT JOIN c USING (frame)""")
+@query("""SELECT o_orderkey AS frame, CASE WHEN o_orderkey % 2 = 0 THEN 'changed' ELSE o_orderpriority END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'Red' ELSE 'Blue' END AS color, '' AS note, CAST(1 AS BIGINT) AS duration FROM orders""")
 def marker_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order a marker, with changes for those that have any."""
     k, none = F.col("o_orderkey"), F.lit(None)
     o = read(spark, sf_dir, "orders")
-    m = o.where(k % 3 == 0).select(k.alias("frame"), F.col("o_orderpriority").alias("name"), F.lit("Blue").alias("color"), F.lit("").alias("note"), F.lit(1).cast("long").alias("duration"))
-    c = o.where(k % 4 == 0).select(k.alias("frame"), F.when(k % 2 == 0, "changed").alias("name"), F.when(k % 5 == 0, "Red").alias("color"), none.cast("string").alias("note"), none.cast("long").alias("duration"))
+    m = o.select(k.alias("frame"), F.col("o_orderpriority").alias("name"), F.lit("Blue").alias("color"), F.lit("").alias("note"), F.lit(1).cast("long").alias("duration"))
+    c = o.select(k.alias("frame"), F.when(k % 2 == 0, "changed").alias("name"), F.when(k % 5 == 0, "Red").alias("color"), none.cast("string").alias("note"), none.cast("long").alias("duration"))
     return update_markers(m, c)
 
 
