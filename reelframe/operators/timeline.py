@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,6 +59,14 @@ def normal_markers(markers: DataFrame) -> DataFrame:
     })
 
 
+def resolve_grid(spark: SparkSession, grid: Sequence[float] | DataFrame, key: str = "timeline", value: object = None) -> DataFrame:
+    """The snapping grid (key, t in ms) of a plan: times in seconds given inline, for the timeline named by value, or an analysed grid (key, t, ...) as it is."""
+    if isinstance(grid, DataFrame):
+        return grid.select(key, "t")
+    times = spark.createDataFrame([(round(float(x) * 1000),) for x in grid], "t long")
+    return times.select(F.lit(value).alias(key), "t")
+
+
 def snap(rows: DataFrame, grid: DataFrame, keys: Sequence[str], fields: Sequence[str], tolerance_ms: int = 50) -> DataFrame:
     """rows with each field moved to the nearest grid time (keys, t) within the tolerance."""
     for f in fields:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,22 @@ def overlay(defaults: Mapping[str, object], given: Mapping[str, object] | None)
     return {**defaults, **(given or {})}
 
 
+def read_config(path: str | os.PathLike[str], defaults: Mapping[str, object]) -> dict[str, object]:
+    """Defaults with what a JSON file sets, unknown keys included; no file, or an empty one, sets nothing."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+    except FileNotFoundError:
+        text = ""
+    try:
+        given = json.loads(text) if text.strip() else None
+    except json.JSONDecodeError as error:
+        raise ValueError(f"{path} holds no valid JSON: {error}") from error
+    if text.strip() and not isinstance(given, dict):
+        raise ValueError(f"{path} must hold a JSON object")
+    return overlay(defaults, given)
+
+
 def canonical(topic: F.Column) -> F.Column:
     """Topic names: trimmed, lower case, blanks and underscores as dashes, without `.md`."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(topic)), r"[\s_]+", "-"), r"\.md$", "")
