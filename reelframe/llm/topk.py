@@ -29,7 +29,7 @@ SCALE = 256
 K = 5
 QUERY_STEP = 50
 #: Rows of an index block, about, and queries that are processed at a time, at most.
-INDEX_ROWS, QUERY_ROWS = 8192, 1024
+INDEX_ROWS, QUERY_ROWS = 8192, 128
 LEVELS = 32
 #: A proof is tried first when no impact above this level is left, then each time the level has halved.
 PROVING = 16
