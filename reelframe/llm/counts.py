@@ -27,8 +27,9 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null text counts as empty: 0 bytes, 0 tokens.  Whole texts count, without begin or end tokens; strings
-    like special tokens are ordinary text, as in the library.  Repeated rows each get a row; other
-    columns are ignored, whatever their names.  model is a path that the executors can open.
+    like special tokens are ordinary text, as in the library.  Pairs with equal scores merge from the left, so ties
+    change no count.  Repeated rows each get a row; other columns are ignored, whatever their names.  An empty table
+    gives an empty result.  model is a path that the executors can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
