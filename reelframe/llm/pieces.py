@@ -88,25 +88,33 @@ def _utf8(run: bytearray) -> str:
 
 
 class _Word:
-    """A word's ids, joined by commas, and the pieces that they stand for side by side."""
+    """A word's ids, joined by commas; with what they decode to, BLANK for blanks, where that isn't the word itself."""
 
     def __init__(self, model: str) -> None:
-        self.new: dict[str, tuple[str, str]] = {}
+        self.new: dict[str, str | tuple[str, str]] = {}
+        self.odd = False
         self.vocabulary, self.library = load(model)
-        self.parts: Memo = Memo(self._part, 800_000)
-        self.words: Memo = Memo(self, 1_200_000)
+        self.digits = [str(i) for i in range(len(self.vocabulary.pieces))]
+        self.parts: Memo = Memo(self._part, 1_000_000)
+        self.words: Memo = Memo(self, 1_600_000)
 
-    def _part(self, part: str) -> tuple[str, str]:
+    def _part(self, part: str) -> str | tuple[str, str]:
         ids = word_ids(part, self.vocabulary)
-        shown = surface(ids, self.vocabulary, self.library)
-        return ",".join(map(str, ids)), part if shown == part else shown  # equal ones share memory
+        joined, shown = ",".join([self.digits[i] for i in ids]), surface(ids, self.vocabulary, self.library)
+        if shown == part:
+            return joined
+        self.odd = True
+        return joined, shown
 
-    def __call__(self, word: str) -> tuple[str, str]:
+    def __call__(self, word: str) -> str | tuple[str, str]:
         at = tail(word, self.vocabulary.inside)
         if at:
-            (left, shown), (right, end) = self.parts[word[:at]], self.parts[word[at:]]
-            shown += end
-            got = f"{left},{right}", word if shown == word else shown
+            left, right = self.parts[word[:at]], self.parts[word[at:]]
+            if type(left) is str and type(right) is str:
+                got = f"{left},{right}"
+            else:
+                (left, shown), (right, end) = _both(left, word[:at]), _both(right, word[at:])
+                got = f"{left},{right}", shown + end
         else:
             got = self.parts[word]
         self.new[word] = got
@@ -114,23 +122,32 @@ class _Word:
 
     def document(self, text: str) -> tuple[str, str]:
         """The ids of a text joined by commas, and the text that they decode to."""
-        memo = self.words
-        own = [memo[w] for w in words(text)]
-        return ",".join([ids for ids, _ in own]), "".join([shown for _, shown in own])[1:].replace(BLANK, " ")
+        memo, own = self.words, words(text)
+        found = [memo[w] for w in own]
+        if self.odd:
+            pairs = [_both(f, w) for f, w in zip(found, own, strict=True)]
+            found, own = [f for f, _ in pairs], [shown for _, shown in pairs]
+        return ",".join(found), "".join(own)[1:].replace(BLANK, " ")
 
     def check(self) -> None:
         """The library gets the words without the blank that it puts in front itself; a blank alone is a piece."""
         self.new.pop(BLANK, None)
+        digits = self.digits
         theirs = self.library.encode([w[1:].replace(BLANK, " ") for w in self.new], num_threads=1)
         texts = self.library.decode(theirs, num_threads=1) if theirs else []
-        for (word, (ids, shown)), other, text in zip(self.new.items(), theirs, texts, strict=True):
-            if ids != ",".join(map(str, other)):
+        for (word, got), other, text in zip(self.new.items(), theirs, texts, strict=True):
+            ids, shown = _both(got, word)
+            if ids != ",".join([digits[i] for i in other]):
                 raise AssertionError(f"{word!r}: merged to {ids}, the library gives {other}")
             if shown[1:].replace(BLANK, " ") != text:
                 raise AssertionError(f"{word!r}: {ids} decoded to {shown!r}, the library gives {text!r}")
         self.new.clear()
 
 
+def _both(found: str | tuple[str, str], word: str) -> tuple[str, str]:
+    return (found, word) if type(found) is str else found
+
+
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, check: bool = True) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
 

@@ -62,7 +62,7 @@ def test_a_difference_from_the_library_stops_the_job():
 def test_a_difference_in_the_decoded_text_stops_the_job():
     make = pieces._Word(MODEL)
     make.document("some words")
-    make.new["▁some"] = make.new["▁some"][0], "▁same"
+    make.new["▁some"] = make.new["▁some"], "▁same"
     with pytest.raises(AssertionError, match="decoded to"):
         make.check()
 
