@@ -8,7 +8,7 @@ every pair within RADIUS bits shares a bucket.  The masks of this code hold 28 b
 thinned to KEPT, which keeps the guarantee and lets most pairs some bits beyond it meet as well.  The
 shingle sets of the pairs that meet decide, so nothing is linked that isn't similar.
 
-The tables' rows are dealt once and sorted; a stream over them passes on the buckets with two or more.
+The tables' rows are dealt once, packed; a stream over them passes on the buckets with two or more.
 Two more streams over these propose pairs, so that no join pairs up a bucket.  In a crowded bucket
 most pairs say what is known already: first, each bucket's members meet the one of them that is in most
 buckets, up to FAR bits; then those meet that are still in different components, within RADIUS.
@@ -37,7 +37,9 @@ RADIUS, FAR = 7, 12
 KEPT = 24
 SEED = 42
 #: Nodes whose keys are made at a time, and members of a bucket that meet all others at a time.
-CHUNK, BLOCK = 1024, 256
+CHUNK, BLOCK = 4096, 256
+#: All keys are dealt in 1 << PART_BITS parts; a task holds one at a time.
+PART_BITS = 12
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -101,7 +103,11 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, uid) of all buckets that hold two nodes or more."""
+    """(key, uid) of all buckets that hold two nodes or more.
+
+    The tables' rows are packed: a row that is dealt holds the keys and uids of one part of all keys for up to CHUNK
+    nodes, as bytes.  A part's rows come together, and a task holds one part at a time.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _places()
@@ -109,25 +115,40 @@ def _members(nodes: DataFrame) -> DataFrame:
             own, fps = b.column(0).to_numpy(), b.column(1).to_numpy()
             for at in range(0, len(own), CHUNK):
                 k = keys(fps[at : at + CHUNK], places)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(own[at : at + CHUNK], k.shape[1]))], ["key", "uid"])
+                x = np.repeat(own[at : at + CHUNK], k.shape[1])
+                k = k.ravel()
+                part = (k.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - PART_BITS)).astype(np.uint16)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange((1 << PART_BITS) + 1)).astype(np.int32)
+                full = np.flatnonzero(np.diff(cuts))
+                ends = np.append(cuts[full], cuts[-1])
+                packed = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends * c.itemsize), pa.py_buffer(c[order])]) for c in (k, x)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packed], ["part", "keys", "uids"])
+
+    def crowded(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        k, x = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in enumerate((np.int32, np.int64)))
+        order = np.argsort(k)
+        k, x = k[order], x[order]
+        same = k[1:] == k[:-1]
+        hit = np.zeros(len(k), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(k[hit]), pa.array(x[hit])], ["key", "uid"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, x, seen = np.zeros(0, np.int32), np.zeros(0, np.int64), False  # the last row, and whether its key was there before
+        now, held = None, []
         for b in batches:
-            k, x = np.concatenate([k, b.column(0).to_numpy()]), np.concatenate([x, b.column(1).to_numpy()])
-            if not len(k):
-                continue
-            same = k[1:] == k[:-1]
-            hit = np.concatenate([[seen], same])
-            hit[:-1] |= same
-            out = hit[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][out]), pa.array(x[:-1][out])], ["key", "uid"])
-            k, x, seen = k[-1:], x[-1:], bool(hit[-1])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], ["key", "uid"])
-
-    rows = nodes.where("n > 0").select("uid", "fp").mapInArrow(spread, "key int, uid long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key int, uid long")
+            for part, *packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if part != now and held:
+                    yield crowded(held)
+                    held = []
+                now = part
+                held.append(tuple(p.as_py() for p in packed))
+        if held:
+            yield crowded(held)
+
+    rows = nodes.where("n > 0").select("uid", "fp").mapInArrow(spread, "part int, keys binary, uids binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(runs, "key int, uid long")
 
 
 def _fits(n: np.ndarray, m: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
